@@ -205,3 +205,27 @@ def p4_forms(spark, sf_dir):
     return canonical_text(speeches, "speech_text", "form").select(
         "speech_id", "delivered_at", F.md5("form").alias("form_md5"), F.char_length("form").cast("bigint").alias("form_chars")
     )
+
+
+def _sql() -> dict[str, str]:
+    marks = "".join(map(chr, [*BLANKS, *HYPHENS, *range(0xFF01, 0xFF5F)])) + CYRILLIC + GREEK
+    plain = " " * len(BLANKS) + "-" * len(HYPHENS) + "".join(map(chr, range(0x21, 0x7F))) + CYRILLIC_AS + GREEK_AS
+    pairs = dict(zip(marks, plain, strict=True))
+    quoted = lambda x: x.replace("'", "''")
+    form = f"translate(nfc_normalize(speech_text), '{quoted(''.join(pairs))}', '{quoted(''.join(pairs.values()))}')"
+    form = f"regexp_replace({form}, '[{''.join(map(chr, INVISIBLE))}]', '', 'g')"
+    ligatures = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xFB00, 0xFB07)] + [(chr(c), x) for c, x in DIGRAPHS.items()]
+    for a, b in ligatures:
+        form = f"replace({form}, '{a}', '{b}')"
+    form = f"nfc_normalize({form})"
+    forms = f"""
+      WITH formed AS (SELECT speech_id, delivered_at, speech_text, {form} AS form FROM speeches WHERE speech_id IS NOT NULL)"""
+    found = f"""{forms},
+      first AS (SELECT speech_id, min({{'at': coalesce(delivered_at, TIMESTAMP '9999-12-31'), 'form': form, 'text': speech_text}}) AS f FROM formed GROUP BY speech_id)
+      SELECT a.speech_id AS speech_id_a, b.speech_id AS speech_id_b FROM first a JOIN first b
+        ON a.f.form = b.f.form AND a.f.text <> b.f.text AND a.speech_id < b.speech_id"""
+    rows = f"{forms} SELECT speech_id, delivered_at, md5(form) AS form_md5, CAST(length(form) AS BIGINT) AS form_chars FROM formed"
+    return {"p4_found": found, "p4_forms": rows}
+
+
+SQL = _sql()
