@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from plenaria.llm import lookalikes, mixing, near_duplicates, quota_sample, reference_match, stable_sample, tokens
+from plenaria.llm import lookalikes, mixing, near_duplicates, quota_sample, reading_level, reference_match, stable_sample, tokens, transcripts
 
 QUERIES = {
+    "p1_found": transcripts.p1_found,
+    "p1_turns": transcripts.p1_turns,
     "p3_found": reference_match.p3_found,
     "p3_matches": reference_match.p3_matches,
     "p4_found": lookalikes.p4_found,
@@ -19,5 +21,7 @@ QUERIES = {
     "p9_found": mixing.p9_found,
     "p9_mix": mixing.p9_mix,
     "p9_shares": mixing.p9_shares,
+    "p10_found": reading_level.p10_found,
+    "p10_profile": reading_level.p10_profile,
 }
 SQL = stable_sample.SQL | quota_sample.SQL | lookalikes.SQL

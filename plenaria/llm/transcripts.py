@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -310,10 +311,13 @@ class Speakers:
         self.groups: list[list[Label]] = []
         self.of: dict[str, list[int]] = {}
         distinct = list({x.text: x for x in labels}.values())
-        for label in sorted((x for x in distinct if x.names), key=lambda x: x.richness(), reverse=True):
+        # full names first, of them the spelling that most labels have
+        often = Counter((x.given, *x.names) for x in labels)
+        for label in sorted((x for x in distinct if x.names), key=lambda x: (x.richness(), often[x.given, *x.names]), reverse=True):
             fits = [k for k, g in enumerate(self.groups) if any(_same_name(label, x) for x in g) and all(_same_name(label, x) for x in g[:1])]
-            exact = [k for k in fits if any(set(label.names) & set(x.names) for x in self.groups[k])]
-            fits = exact or fits
+            if len(fits) > 1:
+                off = {k: min(osa(a, b, 9) for x in self.groups[k] for a in label.names for b in x.names) for k in fits}
+                fits = [k for k in fits if off[k] == min(off.values())]
             if label.party and len(fits) > 1:
                 fits = [k for k in fits if any(x.party == label.party for x in self.groups[k])] or fits
             if label.office and len(fits) > 1:
@@ -392,8 +396,7 @@ def turns(raw: str | None, country: str | None = None, first_speaker: str | None
     numbers: dict[int, int] = {}
     recent: list[int] = []
     for label, said, n in parts:
-        if not n:
-            continue
+        # a label names the speaker of what follows even if its own block is left without words
         if label:
             who = speakers.resolve(label, recent)
         elif recent:
@@ -401,6 +404,8 @@ def turns(raw: str | None, country: str | None = None, first_speaker: str | None
         else:
             who = speakers.resolve(start, []) if start and start.text in speakers.of else -1
         recent = [who, *(k for k in recent if k != who)]
+        if not n:
+            continue
         number = numbers.setdefault(who, len(numbers) + 1)
         if out and out[-1][1] == number:
             out[-1][3] += " " + said
