@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from plenaria.llm import lookalikes, mixing, near_duplicates, quota_sample, reading_level, reference_match, stable_sample, tokens, transcripts
+from plenaria.llm import lookalikes, mixing, name_variants, near_duplicates, quota_sample, reading_level, reference_match, stable_sample, tokens, transcripts
 
 QUERIES = {
     "p1_found": transcripts.p1_found,
     "p1_turns": transcripts.p1_turns,
+    "p2_found": name_variants.p2_found,
+    "p2_entities": name_variants.p2_entities,
     "p3_found": reference_match.p3_found,
     "p3_matches": reference_match.p3_matches,
     "p4_found": lookalikes.p4_found,
