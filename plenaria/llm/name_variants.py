@@ -245,9 +245,10 @@ def block_keys(names: list[str], country: str) -> list[str]:
 def match_profiles(a: list[str], b: list[str], country: str, ids_a: dict[str, int], ids_b: dict[str, int]) -> tuple[int, int, float, int]:
     """level (0 none), slips, share of common speaker ids, and which of the two is the poorer one (0 or 1)."""
     na, nb = {parse(x, country) for x in a}, {parse(x, country) for x in b}
-    rich = lambda x: max(x, key=lambda n: (n.full(), len(n.rest), n.given, n.rest))
-    top_a, top_b = rich(na), rich(nb)
-    if compare(top_a, top_b, country) is None:
+    fullness = lambda n: (n.full(), len(n.rest))
+    top = lambda x: [n for n in x if fullness(n) == max(map(fullness, x))]
+    top_a, top_b = top(na), top(nb)
+    if not any(compare(x, y, country) for x in top_a for y in top_b):
         return 0, 9, 0.0, 0
     found = [r for x in na for y in nb if (r := compare(x, y, country))]
     level, slips = max(found, key=lambda r: (r[0], -r[1]))
@@ -259,7 +260,7 @@ def match_profiles(a: list[str], b: list[str], country: str, ids_a: dict[str, in
         level = 0
     elif level == 2 and slips == 2 and not common:
         level = 1  # so many slips need a rival-free match
-    size = lambda top, names, ids: (top.full(), len(top.rest), len(names), sum(ids.values()))
+    size = lambda top, names, ids: (fullness(top[0]), len(names), sum(ids.values()))
     poorer = int(size(top_b, b, ids_b) < size(top_a, a, ids_a))
     return level, slips, overlap, poorer
 
