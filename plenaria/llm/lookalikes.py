@@ -148,7 +148,7 @@ def canonical_text(df: DataFrame, column: str, out: str) -> DataFrame:
     """
     spot = df.columns.index(column)
     replaced = out in df.columns
-    schema = df.schema if replaced else df.withColumn(out, F.lit("")).schema
+    schema = df.schema if replaced else df.withColumn(out, F.lit(None).cast("string")).schema
     names = schema.names
 
     def convert(batches):

@@ -235,7 +235,7 @@ def block_keys(names: list[str], country: str) -> list[str]:
             out |= {f"b{whole[:4]}", f"e{whole[-4:]}"}
             continue
         for w in p.rest:
-            if len(w) > 3:
+            if len(w) > 1:
                 out |= {f"{k}{g}{x}" for g in {n[:1] for n in _forms(p.given, country)} for k, x in (("f", w[:3]), ("l", w[-3:]))}
         if p.rest and len(p.rest[-1]) > 6:
             out.add(f"w{p.rest[-1]}")

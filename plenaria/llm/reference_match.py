@@ -20,6 +20,8 @@ from plenaria.runtime import cut, table
 
 #: Least Jaccard similarity of a view and an entry.
 THRESHOLD = 0.4
+#: Against rounding of the filters, which must never be stricter than the exact test after them.
+SLACK = 1e-9
 # Words for a parliamentary group, and remarks beside an office.
 GROUP_WORDS = frozenset({"groupe", "group", "fraktion", "klub", "kp", "gruppo", "grupo", "fractie", "parlementaire", "parlamentario", "parlamentare", "poselski"})
 REMARKS = re.compile(r"\b(?:a\.\s?i\.|i\.\s?[vV]\.|[gG]\.\s?[pP]\.|(?:19|20)\d\d)(?!\w)")
@@ -72,7 +74,7 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, group:
     rarity = flat.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("times"))
     ordered = flat.join(rarity, [*group, "token"]).groupBy("side", *group, "id").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("o"))
     ordered = cut(ordered.select("side", *group, "id", F.col("o.token").alias("ordered"), F.size("o").alias("n")))
-    prefix = ordered.withColumn("reach", (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
+    prefix = ordered.withColumn("reach", (F.col("n") - F.ceil(F.col("n") * threshold - SLACK) + 1).cast("int"))
     prefix = prefix.select("side", *group, "id", "n", F.posexplode(F.slice("ordered", F.lit(1), F.col("reach"))).alias("place", "token"))
 
     def side(k: int, name: str) -> DataFrame:
@@ -80,8 +82,8 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, group:
 
     a, b = side(0, "left"), side(1, "right")
     met = a.join(b, [*group, "token"])
-    met = met.where((F.col("left_n") >= F.col("right_n") * threshold) & (F.col("right_n") >= F.col("left_n") * threshold))
-    need = F.ceil((F.col("left_n") + F.col("right_n")) * (threshold / (1 + threshold)))
+    met = met.where((F.col("left_n") >= F.col("right_n") * threshold - SLACK) & (F.col("right_n") >= F.col("left_n") * threshold - SLACK))
+    need = F.ceil((F.col("left_n") + F.col("right_n")) * (threshold / (1 + threshold)) - SLACK)
     # what can still be common from the first shared prefix token on
     first = met.groupBy(*group, "left_id", "right_id", "left_n", "right_n").agg(F.min(F.struct("left_at", "right_at")).alias("p"))
     room = F.least(F.col("left_n") - F.col("p.left_at"), F.col("right_n") - F.col("p.right_at"))

@@ -87,6 +87,7 @@ def blocks(raw: str) -> list[Block]:
     """The blocks of a record in stored order. Lines without a time go with the timed block before them; in a record
     without any times every line is a block (a label line goes with the line after it)."""
     lines = [x.strip() for x in re.split(r"\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]", raw)]
+    lines = [x for k, x in enumerate(lines) if not (SRT_NUMBER.match(x) and k + 1 < len(lines) and "-->" in lines[k + 1])]
     marks = [BLOCK_TIME.match(x) for x in lines]
     timed = any(marks)
     out: list[Block] = []
