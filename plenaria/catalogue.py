@@ -10,6 +10,7 @@ from plenaria.functions import text as T
 from plenaria.functions.countries import CODES, COUNTRIES, country_name
 from plenaria.operators import aggregate, controls, corpus, cost, provenance, quality, review, sampling, scoring
 from plenaria.runtime import table
+from plenaria.sources import files, parsers
 from plenaria.streaming import queries as streams
 
 QUERIES: dict = {}
@@ -526,5 +527,91 @@ def star_revenue_month(spark, d):
     return rows.groupBy(F.col("r_name").alias("region"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sum(revenue).cast("double").alias("revenue"), F.count(F.lit(1)).alias("items"))
 
 
+# parsers: every speech is written as an official record of its own, read back, and held against the table ---------------
+_SQUEEZED = lambda x: rf"trim(regexp_replace({x}, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g'))"
+_SAFE = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _records(spark, d, country: str, form: str, *parts: str, known: dict | None = None) -> DataFrame:
+    """path, content, known of invented records. form: a format string for the named columns, made safe for markup."""
+    rows = table(spark, d, "speeches").where((F.col("country") == country) & F.col("speech_id").isNotNull() & F.col("speech_text").isNotNull())
+    rows = rows.groupBy("speech_id").agg(F.min_by(F.struct("speaker_name", "party", "speech_text"), F.struct("delivered_at")).alias("r")).select("speech_id", "r.*")
+    content = F.format_string(form, *[_SAFE(F.regexp_replace(p, '["\\n]', " ") if p != "speech_text" else F.col(p)) for p in parts])
+    facts = F.to_json(F.struct(F.lit("https://example.invalid/").alias("source_url"), *[F.lit(v).alias(k) for k, v in (known or {}).items()], F.col("speech_id").alias("memberID"), F.col("speaker_name").alias("name")))
+    return rows.select(F.col("speech_id").alias("path"), F.encode(content, "utf-8").alias("content"), facts.alias("known"))
+
+
+def _read_back(parsed: DataFrame, key: str) -> DataFrame:
+    return parsed.select(F.col(key).alias("speech_id"), "speaker_name", F.md5("speech_text").alias("text_md5"), F.col("word_count").alias("words"))
+
+
+def _read_back_sql(country: str) -> str:
+    return rf"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY speech_id ORDER BY delivered_at) AS rn FROM speeches
+          WHERE country = '{country}' AND speech_id IS NOT NULL AND speech_text IS NOT NULL),
+        s AS (SELECT speech_id, {_SQUEEZED("coalesce(speaker_name, '')")} AS speaker_name, {_SQUEEZED('speech_text')} AS t FROM f WHERE rn = 1)
+      SELECT speech_id, speaker_name, md5(t) AS text_md5, CAST(len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*')) AS INTEGER) AS words
+      FROM s WHERE speaker_name <> '' AND t <> ''"""
+
+
+@query(_read_back_sql("Germany"))
+def parse_german_xml(spark, d):
+    form = (
+        '<dbtplenarprotokoll wahlperiode="20" sitzung-nr="1" sitzung-datum="01.02.2022"><rede id="%s"><p klasse="redner"><redner id="1"><name><nachname>%s</nachname></name></redner>x:</p>'
+        "<p>%s</p><kommentar>(Beifall)</kommentar></rede></dbtplenarprotokoll>"
+    )
+    parsed, _ = parsers.parse_files(_records(spark, d, "Germany", form, "speech_id", "speaker_name", "speech_text"), "de_xml")
+    return _read_back(parsed, "source_identifier")
+
+
+@query(_read_back_sql("Netherlands"))
+def parse_dutch_xml(spark, d):
+    form = (
+        '<vlos xmlns="urn:v"><vergadering objectid="V"><datum>2022-02-01</datum><woordvoerder objectid="%s"><spreker objectid="s"><weergavenaam>%s</weergavenaam></spreker>'
+        "<tekst><alinea><alineaitem>%s</alineaitem></alinea></tekst></woordvoerder></vergadering></vlos>"
+    )
+    parsed, _ = parsers.parse_files(_records(spark, d, "Netherlands", form, "speech_id", "speaker_name", "speech_text"), "nl_xml")
+    return _read_back(parsed.withColumn("speech_id", F.substring_index("speech_id", ":", -1)), "speech_id")
+
+
+@query(_read_back_sql("Poland"))
+def parse_polish_html(spark, d):
+    known = {"term": 10, "proceeding": 1, "date": "2024-01-16", "num": 1, "function": ""}
+    parsed, _ = parsers.parse_files(_records(spark, d, "Poland", "<p class='punkt-tytul'>1</p><p>%s</p><p>(Oklaski)</p>", "speech_text", known=known), "pl_html")
+    return _read_back(parsed.withColumn("speaker_name", F.trim(F.regexp_replace("speaker_name", r"[\s\p{Z}]+", " "))), "speaker_id")
+
+
+@query(r"""SELECT DISTINCT speech_id, md5('' || speech_text || ' ' || coalesce(speaker_name, '')) AS text_md5 FROM speeches WHERE speech_id IS NOT NULL AND speech_text <> ''""")
+def html_visible_text(spark, d):
+    rows = table(spark, d, "speeches").where("speech_id IS NOT NULL AND speech_text <> ''").select("speech_id", "speech_text", "speaker_name").distinct()
+    page = F.concat(F.lit("<html><style>p {}</style><script>if (a < b) c()</script><p>"), _SAFE(F.col("speech_text")), F.lit("</p><b>"), _SAFE(F.col("speaker_name")), F.lit("</b></html>"))
+    return parsers.with_visible_text(rows.withColumn("page", F.encode(page, "utf-8")), "page").select("speech_id", F.md5("text").alias("text_md5")).distinct()
+
+
+@query(
+    """SELECT source_url, regexp_extract(source_url, '/([^/]*)$', 1) AS person, source_url || '?a=1&idPersona=' || regexp_extract(source_url, '/([^/]*)$', 1) AS safe, count(*) AS entries
+      FROM source_manifest WHERE source_url IS NOT NULL GROUP BY ALL"""
+)
+def url_params(spark, d):
+    name = F.regexp_extract("source_url", "/([^/]*)$", 1)
+    rows = table(spark, d, "source_manifest").where("source_url IS NOT NULL").withColumn("url", F.concat("source_url", F.lit("?a=1&idPersona="), name, F.lit("&token=secret#x")))
+    return rows.groupBy("source_url", provenance.query_part(F.col("url"), "idPersona").alias("person"), provenance.without_credentials(F.col("url")).alias("safe")).agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("""SELECT country, count(*) AS speeches, CAST(sum(n) AS BIGINT) AS words FROM (SELECT unnest(['France', 'Germany', 'Netherlands', 'Italy', 'Spain', 'Poland']) AS country, unnest([59, 59, 59, 59, 59, 59]) AS n), range(6) GROUP BY country""")
+def mock_corpus(spark, d):
+    return files.mock_corpus(spark).groupBy("country").agg(F.count(F.lit(1)).alias("speeches"), F.sum("word_count").alias("words"))
+
+
+@query(
+    r"""WITH i AS (SELECT DISTINCT ref_id AS item, lower(role_name) AS needle FROM role_ref), s AS (SELECT DISTINCT speech_id, lower(speaker_role) AS role FROM speeches WHERE speech_id IS NOT NULL AND speaker_role IS NOT NULL),
+        n AS (SELECT speech_id, regexp_replace(trim(regexp_replace(replace(role, 'ß', 'ss'), '[\s\p{Z}]+', ' ', 'g')), '\s+([.,;:!?)\]»”])', '\1', 'g') AS hay FROM s)
+      SELECT DISTINCT item, speech_id AS "key" FROM i JOIN n ON contains(hay, needle)"""
+)
+def item_occurrences(spark, d):
+    items = table(spark, d, "role_ref").select(F.col("ref_id").alias("item"), F.col("role_name").alias("text")).distinct()
+    texts = table(spark, d, "speeches").where("speech_id IS NOT NULL AND speaker_role IS NOT NULL").select(F.col("speech_id").alias("key"), F.col("speaker_role").alias("text")).distinct()
+    return review.occurrences(items, texts).distinct()
+
+
 QUERIES |= streams.QUERIES
 SQL |= streams.SQL

@@ -25,8 +25,11 @@ def estimate_cost(rows: DataFrame, price: float = 0.5, block: int = 100) -> Data
         F.coalesce(F.sum("words").cast("bigint"), F.lit(0)).alias("words"),
         F.coalesce(F.sum(units(F.col("words"), block)), F.lit(0)).alias("estimated_api_units"),
     )
-    cost = F.col("estimated_api_units") * F.lit(float(block)) * F.lit(float(price)) / F.lit(1000.0)
-    return sums.select(F.when(F.col("_total") == 1, TOTAL).otherwise(F.col("country")).alias("country"), "speeches", "words", "estimated_api_units", cost.alias("estimated_cost"))
+    named = sums.withColumn("country", F.when(F.col("_total") == 1, TOTAL).otherwise(F.col("country"))).drop("_total")
+    # an empty table has a total too
+    none = rows.sparkSession.range(1).select(F.lit(TOTAL).alias("country"), *[F.lit(0).cast("bigint").alias(c) for c in ("speeches", "words", "estimated_api_units")])
+    every = named.unionByName(none).groupBy("country").agg(*[F.sum(c).alias(c) for c in ("speeches", "words", "estimated_api_units")])
+    return every.withColumn("estimated_cost", F.col("estimated_api_units") * F.lit(float(block)) * F.lit(float(price)) / F.lit(1000.0))
 
 
 def affordable_units(budget: float, price: float) -> int:

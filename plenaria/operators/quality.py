@@ -92,8 +92,8 @@ def country_years(rows: DataFrame) -> DataFrame:
 
 def missing_coverage(rows: DataFrame, countries: tuple[str, ...] = COUNTRIES, years: tuple[int, int] = schema.YEARS) -> DataFrame:
     """Countries and years without any row."""
-    spark = rows.sparkSession
-    grid = spark.createDataFrame([(c,) for c in countries], "country string").join(spark.range(years[0], years[1] + 1).select(F.col("id").cast("int").alias("year")))
+    span = rows.sparkSession.range(years[0], years[1] + 1, numPartitions=1).select(F.col("id").cast("int").alias("year"))
+    grid = span.select("year", F.explode(F.array(*map(F.lit, countries))).alias("country")).select("country", "year")
     seen = rows.where("day IS NOT NULL").select("country", F.year("day").alias("year")).distinct()
     return F.broadcast(grid).join(seen, ["country", "year"], "left_anti")
 

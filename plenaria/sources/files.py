@@ -24,10 +24,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], ddl: str = schema.SPE
     error when it is read (with its text), or a row with _corrupt_record if not strict. Missing strings of speeches are ''."""
     raw = spark.read.schema(f"{ddl}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     if strict:
-        bad = F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring(CORRUPT, 1, 200)))
-        # the check is part of the first column, so that no projection can drop it
-        head = raw.columns[0]
-        raw = raw.withColumn(head, F.when(F.col(CORRUPT).isNotNull(), bad).otherwise(F.col(head))).drop(CORRUPT)
+        bad = F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring(CORRUPT, 1, 200))).cast("boolean")
+        # a filter: no projection can drop it
+        raw = raw.where(F.when(F.col(CORRUPT).isNotNull(), bad).otherwise(True)).drop(CORRUPT)
     return raw
 
 
@@ -157,10 +156,8 @@ def mock_corpus(spark: SparkSession) -> DataFrame:
     """An invented corpus of 6 countries, 2 years and 3 months of 59 words each."""
     text = " ".join(["This is an invented parliamentary speech that only tests the whole run."] * 5)
     text = " ".join(text.split()[:59])
-    grid = reduce(
-        lambda a, b: a.join(b),
-        [spark.createDataFrame([(c,) for c in COUNTRIES], "country string"), spark.createDataFrame([(2019,), (2024,)], "y int"), spark.createDataFrame([(2,), (6,), (10,)], "m int")],
-    )
+    each = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
+    grid = spark.range(1).select(each("country", COUNTRIES)).select("country", each("y", (2019, 2024))).select("country", "y", each("m", (2, 6, 10)))
     identity = F.format_string("mock-%s-%d-%02d", F.lower("country"), F.col("y"), F.col("m"))
     house = F.create_map(*[F.lit(x) for pair in schema.PARLIAMENT.items() for x in pair])[F.col("country")]
     language = F.create_map(*[F.lit(x) for pair in schema.LANGUAGE.items() for x in pair])[F.col("country")]
