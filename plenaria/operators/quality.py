@@ -167,3 +167,40 @@ def selected_reports(meetings: DataFrame) -> DataFrame:
 def wanted_files(index: DataFrame, files: DataFrame) -> DataFrame:
     """Wanted statements without a file: index (path and other columns) minus files (path)."""
     return index.join(files.select("path").distinct(), "path", "left_anti")
+
+
+def statement_coverage(days: DataFrame, metadata: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Coverage of indexed sitting days by statement lists and bodies: a row per term, and the missing items with their reason.
+
+    days: term, proceeding, day (what the index says); metadata: term, proceeding, day, statements (array of num, unspoken;
+    null if the file isn't readable as a list); bodies: term, proceeding, day, num.
+    """
+    key = ["term", "proceeding", "day"]
+    seen = days.select(*key).distinct().join(metadata.select(*key, "statements", F.lit(True).alias("_there")), key, "left")
+    lists = seen.select(*key, F.explode("statements").alias("s")).where("NOT coalesce(s.unspoken, false)").select(*key, F.col("s.num").cast("bigint").alias("num"))
+    absent = lists.where("num IS NOT NULL").join(bodies.select(*key, F.col("num").cast("bigint").alias("num")).distinct(), [*key, "num"], "left_anti")
+    nothing = F.lit(None).cast("bigint")
+    missing = (
+        seen.where("_there IS NULL").select(*key, nothing.alias("num"), F.lit("statement metadata missing").alias("reason"))
+        .unionByName(seen.where("_there AND statements IS NULL").select(*key, nothing.alias("num"), F.lit("invalid statement metadata").alias("reason")))
+        .unionByName(lists.where("num IS NULL").select(*key, "num", F.lit("invalid statement number").alias("reason")))
+        .unionByName(absent.select(*key, "num", F.lit("spoken statement body missing").alias("reason")))
+    )
+    terms = days.groupBy("term").agg(F.count_distinct("proceeding").alias("proceedings"), F.count_distinct("proceeding", "day").alias("target_dates"), F.min("day").alias("first_date"), F.max("day").alias("last_date"))
+    expected = lists.groupBy("term").agg(F.count(F.lit(1)).alias("expected_spoken_bodies"))
+    found = bodies.groupBy("term").agg(F.count(F.lit(1)).alias("statement_body_files"))
+    report = terms.join(expected, "term", "left").join(found, "term", "left").fillna(0, ["expected_spoken_bodies", "statement_body_files"])
+    return report, missing
+
+
+def progress(days: DataFrame, cached: DataFrame) -> DataFrame:
+    """Per term how many of its target days (term, proceeding, day) are cached."""
+    marked = days.distinct().join(cached.select("term", "proceeding", "day", F.lit(1).alias("_c")).distinct(), ["term", "proceeding", "day"], "left")
+    return marked.groupBy("term").agg(F.count("_c").alias("cached_days"), F.count(F.lit(1)).alias("target_days"))
+
+
+def one_address(links: DataFrame) -> DataFrame:
+    """name, url of a link list; a name under two addresses is an error when it is read."""
+    grouped = links.groupBy("name").agg(F.min("url").alias("url"), F.max("url").alias("_other"))
+    wrong = F.raise_error(F.concat(F.lit("two addresses for "), "name"))
+    return grouped.select("name", F.when(F.col("url") == F.col("_other"), F.col("url")).otherwise(wrong).alias("url"))
