@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,25 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package with the session's tasks, for workers that can't import it; once per session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plenaria_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="plenaria-")) / "plenaria.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, path.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+    sc._plenaria_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names in spark.checkpoint.dir; a local one only if none is named."""
     sc = spark.sparkContext
