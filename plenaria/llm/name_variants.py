@@ -45,7 +45,8 @@ BODIES = (
     "consejo federacion rekenkamer commissie provinciale bond raad izba komisja zwiazek rada"
 ).split()
 KINDS = {"rh": "rechnungshof", "lv": "landesverband", "rk": "rekenkamer"}
-CAMEL = re.compile(r"^(van|von|ten|ter|de|del|della|di|du|zu|la)(?=[A-ZÀ-Ž])")
+CAMEL = re.compile(r"^((?:van|von|der|den|ten|ter|della|del|des|de|di|du|da|las|los|la|zu)+)(?=[A-ZÀ-Ž])")
+GLUED = re.compile(r"(?:van|von|der|den|ten|ter|della|del|des|de|di|du|da|las|los|la|zu)+")
 
 
 @dataclass(frozen=True)
@@ -90,6 +91,8 @@ def parse(name: str, country: str) -> Name:
             for piece in CAMEL.sub(r"\1 ", t).split():
                 w = _plain(piece, country)
                 low = piece[0].islower()
+                if "ª" in piece or low and GLUED.fullmatch(w):
+                    continue
                 if not w or w in TITLES and not surname and len(w) > 1:
                     continue
                 if w in PARTICLES and (len(w) > 1 or low) or low and len(w) == 1:
@@ -99,7 +102,7 @@ def parse(name: str, country: str) -> Name:
 
     def untitled(tokens: list[str]) -> list[str]:
         k = 0
-        while k < len(tokens) - 1 and (w := _plain(tokens[k], country)) and (w in TITLES and (len(w) > 1 or k == 0 and country == "France" and len(tokens) > 2 - bool(comma)) or k + 1 < len(tokens) and w == "de" and _plain(tokens[k + 1], country) == "heer" or w == "d" and k > 0 and "ª" in tokens[k] or w == "d" and k > 0 and _plain(tokens[k - 1], country) in ("sr", "sra")):
+        while k < len(tokens) - 1 and (w := _plain(tokens[k], country)) and ("ª" in tokens[k] or w in TITLES and (len(w) > 1 or k == 0 and country == "France" and len(tokens) > 2 - bool(comma)) or k + 1 < len(tokens) and w == "de" and _plain(tokens[k + 1], country) == "heer" or w == "d" and k > 0 and _plain(tokens[k - 1], country) in ("sr", "sra")):
             k += 1
         return tokens[k:]
 
@@ -144,9 +147,25 @@ def _word(a: str, b: str) -> int:
     n = min(len(a), len(b))
     most = 0 if n < 3 else 1 if n < 4 else 2
     d = osa(a, b, most)
+    if d > most and n > 3:
+        short, long_ = sorted((a, b), key=len)
+        return 1 if long_.endswith(short) and GLUED.fullmatch(long_[: -len(short)]) else 9
     return d if d <= most else 9
 
 
+def _given(a: Name, b: Name, country: str) -> int:
+    """Slips between two given names; a short form that neither was typed as must fit the other's typing closely."""
+    typed_a, typed_b = a.short or a.given, b.short or b.given
+    best = 0 if a.given == b.given else _word(a.given, b.given)
+    if not (a.short and b.short):
+        best = min(best, _word(typed_a, typed_b))
+    for typed, other in ((typed_a, b), (typed_b, a)):
+        for form in _forms(other.given, country)[1:]:
+            if len(form) > 3 and osa(typed, form, 1) <= 1:
+                best = min(best, 1)
+    return best
+
+
 @functools.cache
 def _forms(given: str, country: str) -> tuple[str, ...]:
     """A given name and its short forms."""
@@ -192,7 +211,7 @@ def compare(a: Name, b: Name, country: str) -> tuple[int, int] | None:
         # the initial of a short form stands behind that of the name itself
         given, used = int(small.given[:1] != large.given[:1]), int(len(small.given) != len(large.given))
     elif small.given and large.given:
-        given, used = min(_word(x, y) for x in (*_forms(small.given, country), small.short) for y in (*_forms(large.given, country), large.short) if x and y), 0
+        given, used = _given(small, large, country), 0
         if given == 9:
             return None
     else:
@@ -225,8 +244,18 @@ def _same_kind(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return letters in ("".join(w[0] for w in long_), "".join(w[0] for w in long_ if w not in PARTICLES))
 
 
+def _skeleton(word: str) -> str:
+    """The consonants of a word, doubled ones once."""
+    out = ""
+    for c in word:
+        if c not in "aeiouy" and out[-1:] != c:
+            out += c
+    return out
+
+
 def block_keys(names: list[str], country: str) -> list[str]:
-    """Keys under which a profile meets others: begins and ends of its surnames with the given initial, and whole surnames."""
+    """Keys under which a profile meets others: of its surnames, with the initials that the given name may have, the begin, the
+    end, and begin, end and letters of the consonants; and whole surnames. A slip or two leave one of them as it is."""
     out = set()
     for n in names:
         p = parse(n, country)
@@ -234,9 +263,12 @@ def block_keys(names: list[str], country: str) -> list[str]:
             whole = "".join(p.rest)
             out |= {f"b{whole[:4]}", f"e{whole[-4:]}"}
             continue
+        initials = {x[:1] for x in _forms(p.given, country)}
         for w in p.rest:
             if len(w) > 1:
-                out |= {f"{k}{g}{x}" for g in {n[:1] for n in _forms(p.given, country)} for k, x in (("f", w[:3]), ("l", w[-3:]))}
+                k = _skeleton(w)
+                parts = (f"f{w[:4]}", f"l{w[-4:]}", f"s{''.join(sorted(k))[:6]}", f"m{k[:4]}", f"n{k[-4:]}")
+                out |= {f"{g}|{x}" for g in initials for x in parts}
         if p.rest and len(p.rest[-1]) > 6:
             out.add(f"w{p.rest[-1]}")
     return sorted(out)
@@ -255,11 +287,12 @@ def match_profiles(a: list[str], b: list[str], country: str, ids_a: dict[str, in
     common = sum(min(ids_a[k], ids_b[k]) for k in ids_a.keys() & ids_b.keys())
     votes = min(sum(ids_a.values()), sum(ids_b.values()))
     overlap = common / votes if votes else 0.0
-    apart = votes >= 3 and not common
-    if level < 3 and slips and apart:
+    # ids of their own speak against slips: two of them need a common id if both sides have any
+    if level < 3 and slips and not common and votes >= (3 if slips == 1 else 1):
         level = 0
-    elif level == 2 and slips == 2 and not common:
-        level = 1  # so many slips need a rival-free match
+    elif slips == 2 and not common:
+        # without ids, so many slips need all parts and a rival-free match
+        level = 1 if level == 2 else 0
     size = lambda top, names, ids: (fullness(top[0]), len(names), sum(ids.values()))
     poorer = int(size(top_b, b, ids_b) < size(top_a, a, ids_a))
     return level, slips, overlap, poorer
