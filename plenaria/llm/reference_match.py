@@ -39,26 +39,28 @@ def _tokens(found: list[str]) -> frozenset[str]:
 def views(value: str, entry_words: list[str]) -> list[list[str]]:
     """The different token sets of a typed value. entry_words: the words of its country's entries, for cut-off words."""
 
-    def spelled(text: str) -> list[str]:
-        out = []
+    def spelled(text: str) -> list[list[str]]:
+        """The words of a text; a cut-off word stands for each entry word that it may be the begin of, in a reading of its own."""
+        readings: list[list[str]] = [[]]
         for m in re.finditer(r"([^\W_]+)(\.?)", fold(text)):
             w, dot = m.groups()
             full = [e for e in entry_words if e.startswith(w) and len(e) > len(w)] if dot and len(w) > 1 else []
-            out += full if 0 < len(full) <= 3 else [w]
-        return out
+            if not 0 < len(full) <= 3 or len(readings) * len(full) > 27:
+                full = [w]
+            readings = [r + [e] for r in readings for e in full]
+        return readings
 
     bare = REMARKS.sub(" ", value)
     outer = ASIDE.sub(" ", bare)
     parts = [bare, outer, *ASIDE.findall(bare), *re.split(r"/| - ", outer)]
-    found = {_tokens(spelled(p)) for p in parts}
-    for p in parts:
-        ws = spelled(p)
-        if rest := [w for w in ws if w not in GROUP_WORDS]:
-            found.add(_tokens(rest))
+    found = set()
+    for p in [*parts, value]:
+        for ws in spelled(p):
+            rest = [w for w in ws if w not in GROUP_WORDS]
+            found |= {_tokens(ws), _tokens(rest)}
             run = "".join(rest)
             if len(run) <= 4:
                 found.add(_tokens([run]))
-    found.add(_tokens(spelled(value)))
     return sorted(sorted(s) for s in found if s)
 
 
