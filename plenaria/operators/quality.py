@@ -204,3 +204,11 @@ def one_address(links: DataFrame) -> DataFrame:
     grouped = links.groupBy("name").agg(F.min("url").alias("url"), F.max("url").alias("_other"))
     wrong = F.raise_error(F.concat(F.lit("two addresses for "), "name"))
     return grouped.select("name", F.when(F.col("url") == F.col("_other"), F.col("url")).otherwise(wrong).alias("url"))
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A digest of a table's rows that doesn't depend on their order: count and sums of two hashes of every row."""
+    columns = sorted(df.columns)
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)"))
+    r = df.agg(F.count(F.lit(1)).alias("n"), wide(1).alias("a"), wide(2).alias("b")).first()
+    return f"{r.n}:{r.a or 0}:{r.b or 0}"

@@ -26,7 +26,8 @@ def write_corpus(df: DataFrame, path: str) -> None:
     """Parquet by country and year, so that later reads open only what they ask for. df: a speech table with day."""
     from pyspark.sql import functions as F
 
-    df.withColumn("year", F.year("day")).repartition("country", "year").write.mode("overwrite").partitionBy("country", "year").parquet(path)
+    # rebalanced by the adaptive planner: small partitions are merged, a hot country's year is split over several files
+    df.withColumn("year", F.year("day")).hint("rebalance", "country", "year").write.mode("overwrite").partitionBy("country", "year").parquet(path)
 
 
 def put(path: str | Path, text: str) -> None:

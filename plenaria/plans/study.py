@@ -86,10 +86,13 @@ def run_study(
     if sample_budget is not None:
         if spent > sample_budget:
             raise Refused("the controls alone exceed the sample budget")
+        source = quality.fingerprint(records)
         plan = sampling.budget_plan(rows, sample_budget - spent, price)
         plan_rows = outputs.small_rows(plan, ["stratum"])
-        _same_plan(target / "reports" / "sampling_plan.json", {"seed": seed, "budget": sample_budget, "price": price, "strata": plan_rows})
+        _same_plan(target / "reports" / "sampling_plan.json", {"source": source, "seed": seed, "budget": sample_budget, "price": price, "strata": plan_rows})
         rows = cut(sampling.stratified_sample(rows, plan, seed))
+        if quality.fingerprint(read_corpus(spark, corpus_path, dry_run)) != source:
+            raise Refused("the corpus changed while it was sampled")
     eligible = rows.where("words >= 40")
     estimate = cost.estimate_cost(eligible, price)
     total = _total(estimate)
@@ -101,7 +104,7 @@ def run_study(
     _write(spark, target, rows, scored, estimate, summary, dry_run)
     outputs.put_json(target / "reports" / "qa.json", report)
     if plan is not None:
-        outputs.put_json(target / "reports" / "sampling_plan.json", {"seed": seed, "budget": sample_budget, "price": price, "strata": plan_rows})
+        outputs.put_json(target / "reports" / "sampling_plan.json", {"source": source, "seed": seed, "budget": sample_budget, "price": price, "strata": plan_rows})
     return summary
 
 

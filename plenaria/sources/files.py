@@ -74,8 +74,9 @@ def file_digests(files: DataFrame) -> DataFrame:
 
 def verified(files: DataFrame, known: DataFrame) -> DataFrame:
     """name, ok of files (name, content) against known SHA-256 or MD5 digests (name, digest)."""
-    own = F.when(F.length("digest") == 64, F.sha2("content", 256)).otherwise(F.md5("content"))
-    return files.join(F.broadcast(known), "name").select("name", (own == F.lower("digest")).alias("ok"))
+    own = F.when(F.length("digest") == 64, F.col("_sha")).otherwise(F.col("_md5"))
+    digests = files.select("name", F.sha2("content", 256).alias("_sha"), F.md5("content").alias("_md5"))
+    return digests.join(known, "name").select("name", (own == F.lower("digest")).alias("ok"))
 
 
 def zip_members(archives: DataFrame, pattern: str = "") -> DataFrame:

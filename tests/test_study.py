@@ -89,3 +89,26 @@ def test_small_outputs(tmp_path):
     chart = outputs.line_chart([{"country": "A", "period": "2020", "s": 0.5}, {"country": "A", "period": "2021", "s": 0.1}], "<t>", "s")
     assert chart.count("<circle") == 2 and "&lt;t&gt;" in chart and outputs.line_chart([], "t", "s").startswith("<svg")
     assert "**partial**" in outputs.review_packet([{"speech_id": "a", "status": "partial", "text": "x" * 5000}])
+
+
+def test_commands(spark, tmp_path, capsys):
+    path = corpus_file(spark, str(tmp_path / "a.jsonl"))
+    assert study.main(["brief", "--country", "Spain"]) == 0 and "Congreso" in capsys.readouterr().out
+    assert study.main(["qa", "--corpus", path]) == 0 and "'records': 36" in capsys.readouterr().out
+    assert study.main(["estimate", "--corpus", path, "--period", "post"]) == 0 and "TOTAL" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        study.main(["qa"])
+
+
+def test_corpus_files_and_fingerprint(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from plenaria.operators import quality
+
+    df = files.mock_corpus(spark).withColumn("day", F.to_date("date"))
+    outputs.write_corpus(df, str(tmp_path / "c.parquet"))
+    back = spark.read.parquet(str(tmp_path / "c.parquet"))
+    assert back.where("country = 'Spain' AND year = 2024").count() == 3
+    columns = [c for c in df.columns if c != "country"]
+    assert quality.fingerprint(back.select(columns)) == quality.fingerprint(df.select(columns).repartition(7)) != quality.fingerprint(df.select(columns).limit(35))
+    assert quality.fingerprint(df.limit(0)) == "0:0:0"
