@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenaria.runtime import cut, small
+
 LATE = "9999-12-31"
 
 
@@ -21,3 +23,15 @@ def first_delivery(df: DataFrame, columns: dict[str, Column], key: str = "speech
         .agg(F.min(packed).alias("_first"))
         .select(key, *[F.col(f"_first.{n}").alias(n) for n in columns])
     )
+
+
+def first_rows(df: DataFrame, columns: dict[str, Column], key: str = "speech_id", at: str = "delivered_at") -> DataFrame:
+    """The same as first_delivery for wide columns: only the rows of keys that were delivered again are shuffled with them.
+
+    Those keys are found in a pass over key alone. If they are few they are broadcast and all other rows stay where they are;
+    if they aren't, the rows are joined by a shuffle.
+    """
+    again = cut(df.where(F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key))
+    few = small(again, 96)
+    once = df.where(F.col(key).isNotNull()).join(few, key, "left_anti").select(F.col(key), *[c.alias(n) for n, c in columns.items()])
+    return once.unionByName(first_delivery(df.join(few, key, "left_semi"), columns, key, at))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plenaria.functions import text as T
 from plenaria.functions.countries import country_name
-from plenaria.functions.deliveries import first_delivery
+from plenaria.functions.deliveries import first_delivery, first_rows
 from plenaria.functions.ranks import hash_prefix, unit_hash
 from plenaria.operators import aggregate, controls, corpus, cost, provenance, quality, review, sampling, scoring
 
@@ -189,6 +189,7 @@ def test_first_delivery(spark):
     df = spark.createDataFrame([("a", "2024-01-02", "x"), ("a", "2024-01-01", None), ("a", None, "z"), ("b", None, "q"), (None, "2024-01-01", "n"), ("c", "2024-01-01", "y"), ("c", "2024-01-01", "x")], "id string, at string, v string").withColumn("at", F.to_timestamp("at"))
     got = {r.id: r.v for r in first_delivery(df, {"v": F.col("v")}, "id", "at").collect()}
     assert got == {"a": None, "b": "q", "c": "x"}
+    assert {r.id: r.v for r in first_rows(df, {"v": F.col("v")}, "id", "at").collect()} == got and first_rows(df.limit(0), {"v": F.col("v")}, "id", "at").count() == 0
 
 
 SPEECHES = "country string, date string, speech_id string, source_url string, source_identifier string, speech_text string, word_count int, delivered_at timestamp"
