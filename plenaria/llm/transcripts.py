@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenaria.functions.countries import country_name
-from plenaria.functions.deliveries import first_delivery
+from plenaria.functions.deliveries import first_rows
 from plenaria.llm.folding import fold, osa
 from plenaria.runtime import table
 
@@ -426,7 +426,7 @@ def speaker_turns(transcripts: DataFrame, raw: str = "raw_text") -> DataFrame:
     Rows without speech_id are left out; records whose raw text is null, empty or without speech give no rows. A record is
     read whole whatever its length. Extra columns don't matter.
     """
-    first = first_delivery(transcripts, {"country": country_name(F.col("country")), "speaker_name": F.col("speaker_name"), "raw": F.col(raw)})
+    first = first_rows(transcripts, {"country": country_name(F.col("country")), "speaker_name": F.col("speaker_name"), "raw": F.col(raw)})
     names = [x.split()[0] for x in TURNS.split(", ")]
 
     def convert(batches):
