@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plenaria.functions.ranks import unit_hash
 from plenaria.llm.codepoints import pieces, to_points
 from plenaria.llm.words import classes, mix, word_hashes
-from plenaria.runtime import cut, table
+from plenaria.runtime import cut, small, table
 
 MIN_WORDS = 30
 LEVELS = (1, 2, 3, 4)
@@ -282,7 +282,8 @@ def fit_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id", tex
             blob = lambda x: pa.array([r.tobytes() for r in x[keep]], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(keep)), part.column(2).take(pa.array(keep)), pa.array(language[keep], pa.int64()), blob(syntax), blob(vocabulary.astype(np.float16))], names=["unit", "grade", "language", "syntax", "vocabulary"])
 
-    seen = documents.join(taken, key).select(text, "_unit", "grade").mapInArrow(rows, "unit double, grade double, language long, syntax binary, vocabulary binary")
+    # at most about `graded` rows: the texts stay where they are
+    seen = documents.join(small(taken, 64), key).select(text, "_unit", "grade").mapInArrow(rows, "unit double, grade double, language long, syntax binary, vocabulary binary")
     got = seen.toArrow().sort_by("unit")
     array = lambda c, t, w: np.frombuffer(b"".join(got[c].to_pylist()), t).reshape(-1, w).astype(np.float32)
     return model.fit(got["language"].to_numpy(), array("syntax", np.float32, len(SYNTAX)), array("vocabulary", np.float16, HASHED), got["grade"].to_numpy())
