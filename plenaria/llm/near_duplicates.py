@@ -136,13 +136,13 @@ def bags(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(convert, rows.select("key", F.array(F.lit(0).cast("bigint")).alias("bag")).schema)
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of representatives that share a band and whose estimate is high enough. reps: id (long), sig, bands.
+def candidate_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b of representatives that share a band and whose estimate is high enough, and the large buckets
+    (band, id), of which more may be wanted. reps: id (long), sig, bands.
 
     In a bucket of a few classes every pair is rated. A large bucket may hold one huge group or many texts of like wording:
-    its members are rated against a few leaders, and those all but equal to a leader leave with the leaders (the group
-    stays linked through them). Once a round removes little, the rest is rated pair by pair inside the join, which hands
-    on only the similar pairs; none is left out.
+    its members are rated against a few leaders, those all but equal to a leader leave with the leaders, and so on until a
+    round removes little. That finds most links of a huge group by few pairs; unlinked_pairs() rates what it leaves open.
     """
     members = reps.select("id", F.explode("bands").alias("band"))
     sizes = cut(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -155,7 +155,7 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
 
     few = shared.where(F.col("n") <= BUCKET).select("band", "id")
     out = cut(rated(few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "band")))
-    many = shared.where(F.col("n") > BUCKET).select("band", "id")
+    many = large = shared.where(F.col("n") > BUCKET).select("band", "id")
     size = many.count()
     while size:
         leads = cut(many.groupBy("band", F.pmod("id", F.lit(LEADERS)).alias("k")).agg(F.min("id").alias("lead")).select("band", "lead"))
@@ -168,13 +168,26 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
         many = cut(many.join(gone, ["band", "id"], "left_anti"))
         before, size = size, many.count()
         if size > before * (1 - THINNED):
-            rows = many.join(reps.select("id", "sig"), "id")
-            a = rows.select("band", F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-            b = rows.select("band", F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-            like = estimate("sig_a", "sig_b") >= LEAST_ESTIMATE
-            rest = a.join(b, (a.band == b.band) & (F.col("a") < F.col("b")) & like)
-            return out.select("a", "b").unionByName(rest.select("a", "b")).distinct()
-    return out.select("a", "b")
+            break
+    return out.select("a", "b"), large
+
+
+def unlinked_pairs(large: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of one large bucket that no verified links connect yet and whose estimate is high enough.
+
+    large: band, id. groups: id, component — by the verified links so far; a pair within a component is connected whatever
+    its own similarity, every other pair of a bucket is rated inside the join, which hands on only the similar ones. Of a
+    pair of two components one at least isn't of the bucket's largest, so a huge group is never joined with itself.
+    """
+    members = cut(large.join(groups, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")))
+    sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = cut(sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", F.col("top.component").alias("top")))
+    rows = members.join(small(mixed, 64), "band").join(reps.select("id", "sig"), "id")
+    side = lambda x: rows.select("band", F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("component").alias(f"of_{x}"), (F.col("component") == F.col("top")).alias(f"top_{x}"))
+    a, b = side("a").where("not top_a"), side("b")
+    apart = (F.col("of_a") != F.col("of_b")) & (F.col("top_b") | (F.col("a") < F.col("b")))
+    found = a.join(b, (a.band == b.band) & apart & (estimate("sig_a", "sig_b") >= LEAST_ESTIMATE))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def alike(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
@@ -203,17 +216,32 @@ class NearDuplicates:
         classes = self.members.groupBy("seq", "id").agg(F.min(key).alias("key"))
         reps = signs.join(classes, ["seq", "key"]).select("id", "key", "sig", "bands").dropDuplicates(["id"])
         reps = cut(reps)
-        pairs = cut(candidate_pairs(reps))
+        pairs, large = candidate_pairs(reps)
+        pairs = cut(pairs)
+        self.bags = self._bags(df, reps, pairs, text, at)
+        self.links = cut(alike(pairs, self.bags, least))
+        self.groups = self._groups()
+        rest = cut(unlinked_pairs(large, reps, self.groups))
+        if not rest.isEmpty():
+            self.bags = cut(self.bags.unionByName(self._bags(df, reps.join(self.bags, "id", "left_anti"), rest, text, at)))
+            more = cut(alike(rest, self.bags, least))
+            if not more.isEmpty():
+                self.links = cut(self.links.unionByName(more))
+                self.groups = self._groups()
+        self.least = least
+
+    def _bags(self, df: DataFrame, reps: DataFrame, pairs: DataFrame, text: str, at: str) -> DataFrame:
+        """id, bag of those reps that are in a pair."""
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         wanted = cut(reps.select("id", "key").join(ids, "id"))
-        rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(at).alias("at"))
+        rows = df.select(F.col(self.key).alias("key"), F.col(text).alias("text"), F.col(at).alias("at"))
         texts = rows.join(small(wanted, 64), "key").select("id", "key", "at", "text")
         # a key's later deliveries may come along; the class's own text is the first one
         texts = texts.groupBy("id").agg(F.min_by("text", F.coalesce("at", F.lit("9999-12-31").cast("timestamp"))).alias("text"))
-        self.bags = cut(bags(texts, "id", "text").withColumnRenamed("key", "id"))
-        self.links = cut(alike(pairs, self.bags, least))
-        self.groups = cut(components(self.links).select(F.col("node").alias("id"), "component"))
-        self.least = least
+        return cut(bags(texts, "id", "text").withColumnRenamed("key", "id"))
+
+    def _groups(self) -> DataFrame:
+        return cut(components(self.links).select(F.col("node").alias("id"), "component"))
 
     def membership(self) -> DataFrame:
         """One row per key with enough words: key, class_id, group_id (null for a class without links)."""

@@ -107,3 +107,19 @@ def test_what_takes_no_part(spark):
     assert {tuple(r) for r in found.pairs().collect()} == {("d", "e"), ("d", "f")}
     empty = D.NearDuplicates(table(spark, texts).limit(0))
     assert empty.pairs().count() == 0 and empty.membership().count() == 0
+
+
+def outer_version(rng):
+    """A huge family of all but equal texts, and a version that is a duplicate of one of them only, not of its leaders."""
+    base, other = made(rng, 200), [f"z{k}" for k in range(200)]
+    outer = base[:147] + other[147:]
+    family = [base[:k] + [f"f{k}"] + base[k + 1 :] for k in range(10, 130)]
+    inner = base[:190] + other[190:195] + base[195:]
+    return [(f"f{k}", " ".join(w)) for k, w in enumerate(family)] + [("inner", " ".join(inner)), ("outer", " ".join(outer))]
+
+
+def test_the_only_link_of_an_outer_version_is_kept(spark):
+    texts = outer_version(random.Random(2))
+    want = brute(texts)
+    assert [p for p in want if "outer" in p] == [("inner", "outer")]
+    assert {tuple(r) for r in D.NearDuplicates(table(spark, texts)).pairs().collect()} == want
