@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plenaria.functions.deliveries import first_delivery
 from plenaria.llm.codepoints import pieces, to_points
 from plenaria.llm.components import components
-from plenaria.llm.words import mix, occurrence_hashes, word_hashes
+from plenaria.llm.words import mix, occurrence_hashes, word_counts, word_hashes
 from plenaria.runtime import cut, small, table
 
 SHINGLE = 4
@@ -40,12 +40,16 @@ MULTIPLY, ADD = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """MinHash minima (rows x BANDS*ROWS, uint32) of the word shingles; rows must have SHINGLE words at least."""
-    n = np.diff(offsets) - SHINGLE + 1
+    """MinHash minima (rows x BANDS*ROWS, uint32) of the word shingles, of rows with fewer than SHINGLE words of the words;
+    rows must have a word at least."""
+    words = np.diff(offsets)
+    n = np.where(words < SHINGLE, words, words - SHINGLE + 1)
     at = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     shingle = hashes[at].copy()
+    whole = slice(None) if words.min() >= SHINGLE else np.repeat(words >= SHINGLE, n)
+    at = at[whole]
     for k in range(1, SHINGLE):
-        shingle = mix(shingle) + hashes[at + k]
+        shingle[whole] = mix(shingle[whole]) + hashes[at + k]
     shingle = mix(shingle)
     starts = np.cumsum(n) - n
     out = np.empty((len(n), BANDS * ROWS), np.uint32)
@@ -93,15 +97,19 @@ def estimate(a: str, b: str) -> Column:
 
 
 def signed(df: DataFrame, key: str, text: str, at: str, min_words: int) -> DataFrame:
-    """key, at, seq (128 bits of the word sequence), sig, bands of the rows with enough words."""
+    """key, at, seq (128 bits of the word sequence), sig, bands of the rows with enough words.
+
+    The words of the text as stored must be enough; seq, sig and bands are those of its form, which must have a word.
+    """
     # fewer characters than this can't be min_words words
-    rows = df.where(F.col(key).isNotNull() & (F.char_length(text) >= 2 * max(min_words, SHINGLE) - 1)).select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(text).alias("text"))
+    rows = df.where(F.col(key).isNotNull() & (F.char_length(text) >= 2 * min_words - 1)).select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(text).alias("text"))
 
     def convert(batches):
         for batch in batches:
             for part in pieces(batch, 2, 400_000):
-                hashes, offsets = word_hashes(*to_points(part.column(2)))
-                enough = np.flatnonzero(np.diff(offsets) >= max(min_words, SHINGLE))
+                stored = to_points(part.column(2))
+                hashes, offsets = word_hashes(*stored)
+                enough = np.flatnonzero((word_counts(*stored) >= min_words) & (np.diff(offsets) > 0))
                 n = np.diff(offsets)[enough]
                 index = np.repeat(offsets[enough] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 hashes, offsets = hashes[index], np.append(0, np.cumsum(n))
@@ -201,7 +209,7 @@ def alike(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
 class NearDuplicates:
     """The classes, verified links and groups of a table of texts.
 
-    key null: left out; text null, empty or of fewer than min_words words: in no class. Repeated keys count by their first
+    key null: left out; text null, empty or of fewer than min_words words as stored: in no class. Repeated keys count by their first
     delivery. Exact copies (equal word sequences) are one class and take part as one. Extra columns don't matter.
 
     members: key, id, seq — the class `id` (a long) of each key. links: a, b — verified pairs of classes. groups: id,

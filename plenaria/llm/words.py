@@ -41,17 +41,9 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE, np.uint64)]), dtype=np.uint64)
 
 
-def word_hashes(points: np.ndarray, offsets: np.ndarray, form: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all rows' words in order, and the rows' offsets in them.
-
-    Words are those of SURVEY S1, after problem 4's form (if asked for) and without letter case.
-    """
-    if form:
-        points, offsets = canonical_points(points, offsets)
-    if not len(points):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    kind, lower = classes()
-    k = kind[points]
+def _spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are inside of words, and where words start."""
+    k = classes()[0][points]
     letter = k == 1
     # an apostrophe belongs to a word if a letter of the same row stands on either side
     ends = np.zeros(len(points) + 1, bool)
@@ -62,8 +54,26 @@ def word_hashes(points: np.ndarray, offsets: np.ndarray, form: bool = True) -> t
     inside = letter
     inside[joint] = True
     before = np.empty_like(inside)
-    before[0], before[1:] = False, inside[:-1]
-    starts = np.flatnonzero(inside & (~before | ends[:-1]))
+    before[:1], before[1:] = False, inside[:-1]
+    return inside, np.flatnonzero(inside & (~before | ends[:-1]))
+
+
+def word_counts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of words of each row's text as stored."""
+    return np.diff(np.searchsorted(_spans(points, offsets)[1], offsets))
+
+
+def word_hashes(points: np.ndarray, offsets: np.ndarray, form: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all rows' words in order, and the rows' offsets in them.
+
+    Words are those of SURVEY S1, after problem 4's form (if asked for) and without letter case.
+    """
+    if form:
+        points, offsets = canonical_points(points, offsets)
+    if not len(points):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    lower = classes()[1]
+    inside, starts = _spans(points, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     index = np.flatnonzero(inside)

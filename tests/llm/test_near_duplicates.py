@@ -123,3 +123,13 @@ def test_the_only_link_of_an_outer_version_is_kept(spark):
     want = brute(texts)
     assert [p for p in want if "outer" in p] == [("inner", "outer")]
     assert {tuple(r) for r in D.NearDuplicates(table(spark, texts)).pairs().collect()} == want
+
+
+def test_words_are_counted_on_the_text_as_stored(spark):
+    words = [f"wort{k}" for k in range(60)]
+    split = "wo\u200brt0 " + " ".join(words[1:59])  # 60 words as stored, 59 in problem 4's form
+    ab, cd = "\u00ad".join(["ab"] * 40), "\u00ad".join(["cd"] * 40)  # 40 words as stored, one in the form
+    texts = [("a", split), ("b", " ".join(words)), ("c", " ".join(words[:59])), ("d", f"{ab} {cd}"), ("e", f"{cd} {ab}")]
+    found = D.NearDuplicates(table(spark, texts))
+    assert {r.speech_id for r in found.membership().collect()} == {"a", "b", "d", "e"}
+    assert {tuple(r) for r in found.pairs().collect()} == {("a", "b"), ("d", "e")}
