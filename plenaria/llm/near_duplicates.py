@@ -97,19 +97,25 @@ def estimate(a: str, b: str) -> Column:
 
 
 def signed(df: DataFrame, key: str, text: str, at: str, min_words: int) -> DataFrame:
-    """key, at, seq (128 bits of the word sequence), sig, bands of the rows with enough words.
+    """key, at, seq (128 bits of the word sequence), sig, bands of the rows with a key; the latter three are null without enough words.
 
     The words of the text as stored must be enough; seq, sig and bands are those of its form, which must have a word.
     """
     # fewer characters than this can't be min_words words
-    rows = df.where(F.col(key).isNotNull() & (F.char_length(text) >= 2 * min_words - 1)).select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(text).alias("text"))
+    long = F.when(F.char_length(text) >= 2 * min_words - 1, F.col(text))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(at).alias("at"), long.alias("text"))
+    out = rows.select("key", "at", F.lit(None).cast("binary").alias("seq"), *(F.lit(None).cast("array<bigint>").alias(x) for x in ("sig", "bands"))).schema
 
     def convert(batches):
         for batch in batches:
             for part in pieces(batch, 2, 400_000):
                 stored = to_points(part.column(2))
                 hashes, offsets = word_hashes(*stored)
-                enough = np.flatnonzero((word_counts(*stored) >= min_words) & (np.diff(offsets) > 0))
+                fit = (word_counts(*stored) >= min_words) & (np.diff(offsets) > 0)
+                if not fit.all():
+                    kept = part.take(pa.array(np.flatnonzero(~fit)))
+                    yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *(pa.nulls(len(kept), t) for t in (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=out.names)
+                enough = np.flatnonzero(fit)
                 n = np.diff(offsets)[enough]
                 index = np.repeat(offsets[enough] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 hashes, offsets = hashes[index], np.append(0, np.cumsum(n))
@@ -125,9 +131,9 @@ def signed(df: DataFrame, key: str, text: str, at: str, min_words: int) -> DataF
                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(seq.tobytes())]).cast(pa.binary()),
                     *(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1), pa.int64())) for m in (packed(minima), band_keys(minima))),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "at", "seq", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return rows.mapInArrow(convert, rows.select("key", "at", F.lit(b"").alias("seq"), F.array(F.lit(0).cast("bigint")).alias("sig"), F.array(F.lit(0).cast("bigint")).alias("bands")).schema)
+    return rows.mapInArrow(convert, out)
 
 
 def bags(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -219,7 +225,7 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, key: str = "speech_id", text: str = "speech_text", at: str = "delivered_at", min_words: int = MIN_WORDS, least: float = LEAST_COMMON) -> None:
         self.key = key
         signs = cut(signed(df, key, text, at, min_words))
-        first = first_delivery(signs, {"seq": F.col("seq")}, "key", "at")
+        first = first_delivery(signs, {"seq": F.col("seq")}, "key", "at").where("seq is not null")
         self.members = cut(first.withColumn("id", F.xxhash64("seq")).select(F.col("key").alias(key), "id", "seq"))
         classes = self.members.groupBy("seq", "id").agg(F.min(key).alias("key"))
         reps = signs.join(classes, ["seq", "key"]).select("id", "key", "sig", "bands").dropDuplicates(["id"])

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
@@ -133,3 +134,12 @@ def test_words_are_counted_on_the_text_as_stored(spark):
     found = D.NearDuplicates(table(spark, texts))
     assert {r.speech_id for r in found.membership().collect()} == {"a", "b", "d", "e"}
     assert {tuple(r) for r in found.pairs().collect()} == {("a", "b"), ("d", "e")}
+
+
+def test_only_first_deliveries_take_part(spark):
+    base = " ".join(f"wort{k}" for k in range(60))
+    early, late = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    rows = [("d", base, early), ("e", base + " mehr", early), ("e", "spät", late), ("h", None, early), ("h", base + " auch", late), ("i", "kurz", early), ("i", base + " noch", late), ("k", base + " dann", late), ("k", "zeitlos", None)]
+    found = D.NearDuplicates(spark.createDataFrame([(i, t, at, 1, "x", "y") for i, t, at in rows], DDL))
+    assert {r.speech_id for r in found.membership().collect()} == {"d", "e", "k"}
+    assert {tuple(r) for r in found.pairs().collect()} == {("d", "e"), ("d", "k"), ("e", "k")}
