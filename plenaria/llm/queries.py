@@ -7,6 +7,7 @@ from plenaria.llm import lookalikes, mixing, name_variants, near_duplicates, quo
 QUERIES = {
     "p1_found": transcripts.p1_found,
     "p1_turns": transcripts.p1_turns,
+    "p1_speech_turns": transcripts.p1_speech_turns,
     "p2_found": name_variants.p2_found,
     "p2_entities": name_variants.p2_entities,
     "p3_found": reference_match.p3_found,

@@ -449,3 +449,7 @@ def p1_turns(spark, sf_dir):
 
 def p1_found(spark, sf_dir):
     return p1_turns(spark, sf_dir).select("speech_id", "turn_no", "speaker_no", "n_words")
+
+
+def p1_speech_turns(spark, sf_dir):
+    return speaker_turns(table(spark, sf_dir, "speeches"))

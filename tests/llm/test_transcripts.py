@@ -79,3 +79,13 @@ def test_table(spark):
     got = sorted((r.speech_id, r.turn_no, r.speaker_no, r.n_words) for r in X.speaker_turns(spark.createDataFrame(data, ddl)).collect())
     assert got == [("a", 1, 1, 1), ("c", 1, 1, 1)]
     assert X.speaker_turns(spark.createDataFrame(data, ddl).limit(0)).count() == 0
+
+
+def test_speeches_are_read_too(spark, tmp_path):
+    from plenaria.llm.queries import QUERIES
+
+    ddl = "speech_id string, country string, speaker_name string, speech_text string, raw_text string, delivered_at timestamp"
+    data = [("a", "DE", "Anna Berg", "Ja. Nein.", "[00:00:02] Anna Berg: Ähm, ja. (Beifall)\n[00:00:05] C. Tal (Y): Nein.", None), ("b", "DE", None, "Ja.", None, None), ("c", "DE", "Anna Berg", "Gut so.", "Gut so.", None)]
+    spark.createDataFrame(data, ddl).write.parquet(f"{tmp_path}/speeches.parquet")
+    got = sorted((r.speech_id, r.turn_no, r.speaker_no, r.text, r.n_words) for r in QUERIES["p1_speech_turns"](spark, str(tmp_path)).collect())
+    assert got == [("a", 1, 1, "Ja.", 1), ("a", 2, 2, "Nein.", 1), ("c", 1, 1, "Gut so.", 2)]
