@@ -1,10 +1,12 @@
+import itertools
 import random
+import time
 
 from plenaria.llm import transcripts as X
 
 
 def show(raw, country="Germany", first=None):
-    return [(no, who, n) for no, who, _, _, n in X.turns(raw, country, first)]
+    return [(no, who, n) for no, who, _, _, n, _ in X.turns(raw, country, first)]
 
 
 def test_labels_of_all_styles_are_one_speaker():
@@ -27,17 +29,76 @@ def test_relatives_are_different():
 
 def test_sounds_times_and_hesitations_go_and_speech_stays():
     raw = "(00:10) Anna Berg: Ähm, um 17:50 Uhr – (Beifall bei der GAL) – stimmen wir (20/8840) <Lachen> öh... ab. *Unruhe* [Zurufe von der FWU]"
-    _, _, _, text, n = X.turns(raw, "Germany")[0]
+    _, _, _, text, n, _ = X.turns(raw, "Germany")[0]
     assert text == "Um 17:50 Uhr stimmen wir (20/8840) ab." and n == 9
-    assert X.clean("Ma ha e a, hm y", "Poland") == "Ma ha e a, hm y"
-    assert X.clean("yyy tak eeem, nie", "Poland") == "Tak nie"
+    assert X.clean_all(["Ma ha e a, hm y", "yyy tak eeem, nie"], "Poland") == ["Ma ha e a, hm y", "Tak nie"]
+
+
+def test_everything_said_stays_and_notes_of_any_length_go():
+    said = "Nous votons (Texte adopté) à Lyon (Madrid) hier (article 3)."
+    assert X.clean_all([said], "France") == [said]
+    assert X.clean_all(["On parle (microcrédits) ici – (Vifs applaudissements) – encore [Rires]"], "France") == ["On parle (microcrédits) ici encore"]
+    note = "Anhaltender Beifall " + "bei der SDB und " * 60
+    assert X.clean_all([f"Das ist gut ({note}) und weiter", f"Ja [{note}] nein", "x" * 9], "Germany") == ["Das ist gut und weiter", "Ja nein", "X" + "x" * 8]
+    assert X.clean_all(["(Beifall", "bei der SDB)", "– (Beifall) –", ""], "Germany") == ["(Beifall", "Bei der SDB)", "", ""]
+    assert X.clean_all(["a \ufdd0 b", "c \ufdd1 d"], "Germany") == ["A b", "C d"]
+
+
+def test_labels_of_any_length():
+    name = "Anna " + "Maria Theresia von und zu Hohenlohe Langenburg Schillingsfürst " * 4 + "Berg"
+    party = "Bund Aller Freien Wähler Der Mitte"
+    for label in (f"{name}:", f"{name} ({party}):", f"{name} ({party}) –", f">> {name}:", f"[{name}]"):
+        assert [(who, n) for _, who, n in show(f"C. Tal (Y): Ja.\n{label} Eins zwei.")] == [(1, 1), (2, 2)], label
+    assert [(who, n) for _, who, n in show(f"C. Tal (Y): Ja.\n{name} ({party})\nEins zwei.")] == [(1, 1), (2, 2)]
 
 
 def test_out_of_order_blocks_and_jitter():
     raw = "00:00:05 A. Berg (X): eins\n00:00:30 vier\n00:00:12 C. Tal (Y): zwei\n00:00:20 drei"
     assert show(raw) == [(1, 1, 1), (2, 2, 3)]
-    assert [t for _, _, _, t, _ in X.turns(raw, "Germany")] == ["Eins", "Zwei Drei Vier"]
-    assert X.isotonic([1.0, 3.0, 2.0, 4.0]) == [1.0, 2.5, 2.5, 4.0]
+    assert [(t, at) for _, _, _, t, _, at in X.turns(raw, "Germany")] == [("Eins", 5.0), ("Zwei Drei Vier", 12.0)]
+
+
+def test_isotonic_fit_has_the_least_absolute_error():
+    rng = random.Random(4)
+    for _ in range(200):
+        values = [float(rng.randrange(6)) for _ in range(rng.randrange(1, 6))]
+        fit = X.isotonic(values)
+        error = lambda x, v=values: sum(abs(a - b) for a, b in zip(x, v, strict=True))
+        best = min(error(x) for x in itertools.combinations_with_replacement([float(k) for k in range(6)], len(values)))
+        assert fit == sorted(fit) and error(fit) == best
+    assert X.isotonic([49.0, 67.0, 84.0, 99.0, 31.0]) == [49.0, 67.0, 84.0, 84.0, 84.0]
+
+
+RESET = [f"00:00:{t:02d} {who}: {w}" for t, who, w in [(50, "A. Berg (X)", "eins"), (54, "C. Tal (Y)", "zwei"), (58, "A. Berg (X)", "drei"), (3, "C. Tal (Y)", "vier"), (8, "A. Berg (X)", "fünf"), (12, "C. Tal (Y)", "sechs")]]
+JITTERED = ["00:00:05.00 A. Berg (X): eins", "00:00:10.40 C. Tal (Y): zwei", "00:00:10.10 A. Berg (X): drei", "00:00:30 C. Tal (Y): vier", "00:00:20 A. Berg (X): fünf"]
+
+
+def test_the_fit_and_the_segments_decide_the_order(monkeypatch):
+    texts = lambda raw: [t for _, _, _, t, _, _ in X.turns("\n".join(raw), "Germany")]
+    assert texts(RESET) == ["Eins", "Zwei", "Drei", "Vier", "Fünf", "Sechs"]
+    assert [at for *_, at in X.turns("\n".join(RESET), "Germany")] == [50.0, 54.0, 58.0, 61.0, 66.0, 70.0]
+    # a small fall is jitter and keeps the stored order with the fitted time; a large one puts the block where its time says
+    assert texts(JITTERED) == ["Eins", "Zwei", "Drei Fünf", "Vier"]
+    assert [at for *_, at in X.turns("\n".join(JITTERED), "Germany")] == [5.0, 10.1, 10.1, 30.0]
+    with monkeypatch.context() as m:
+        m.setattr(X, "isotonic", list)
+        assert texts(JITTERED) == ["Eins", "Zwei", "Drei", "Vier", "Fünf"]
+    with monkeypatch.context() as m:
+        m.setattr(X, "segments", lambda times: [0])
+        assert texts(RESET) == ["Vier", "Fünf", "Sechs", "Eins", "Zwei", "Drei"]
+
+
+def test_drifting_clocks_and_long_noisy_records():
+    rng = random.Random(2)
+    drift = [k * 0.3 + rng.random() * 0.4 for k in range(300)]
+    assert [k for k, _ in X.repaired(drift)] == list(range(300))
+    two = [*drift, *drift]
+    assert X.segments(two) == [0, 300] and [k for k, _ in X.repaired(two)] == list(range(600))
+    noise = [rng.random() * 3600 for _ in range(50_000)]
+    began = time.perf_counter()
+    found = X.repaired(noise)
+    assert time.perf_counter() - began < 5
+    assert sorted(k for k, _ in found) == list(range(50_000)) and [t for _, t in found] == sorted(t for _, t in found)
 
 
 def test_clock_reset_keeps_the_stored_order():
