@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenaria.runtime import checkpoint_dir
+from plenaria.runtime import shared_dir
 
 DELAY = "3650 days"
 
@@ -21,8 +21,7 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 def run(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and read what it wrote: the rows of all batches with `batch`, in the shared folder."""
     spark = stream.sparkSession
-    checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     shape = stream.schema
 
     def write(rows: DataFrame, batch: int) -> None:

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -293,3 +294,31 @@ def test_union_checks_countries(spark):
     assert corpus.union_countries({"Italy": df}).count() == 1
     with pytest.raises(Exception, match="a row of Spain says Italy"):
         corpus.union_countries({"Italy": df, "Spain": df}).collect()
+
+
+def test_key_filter_keeps_every_wanted_row(spark):
+    from plenaria.functions.deliveries import first_rows, maybe_among
+
+    rows = spark.range(3000).select(F.when(F.col("id") > 0, F.concat(F.lit("k"), "id")).alias("key"), F.lit(1).alias("_n"))
+    wanted = spark.range(1, 3000, 7).select(F.concat(F.lit("k"), "id").alias("w"))
+    got = {r.key: r._maybe for r in maybe_among(rows, "key", wanted).collect()}
+    assert all(got[f"k{k}"] for k in range(1, 3000, 7)) and got[None] is False and sum(got.values()) < 450
+    assert not any(r._maybe for r in maybe_among(rows, "key", wanted.limit(0)).collect())
+    ddl = "speech_id string, text string, delivered_at timestamp"
+    at = lambda k: datetime(2024, 1, k)
+    data = [("a", "late", at(2)), ("a", "first", at(1)), ("b", "only", None), (None, "x", at(1)), ("c", "no time", None), ("c", "timed", at(3))]
+    found = first_rows(spark.createDataFrame(data, ddl), {"t": F.col("text")})
+    assert sorted(found.collect()) == [("a", "first"), ("b", "only"), ("c", "timed")]
+    assert first_rows(spark.createDataFrame([], ddl), {"t": F.col("text")}).count() == 0
+
+
+def test_released_checkpoints_are_gone(spark):
+    import os
+
+    from plenaria.runtime import cut, release
+
+    kept, gone = cut(spark.range(5)), cut(spark.range(7))
+    place = gone._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(place)
+    release(gone, spark.range(3))
+    assert not os.path.exists(place) and kept.count() == 5
