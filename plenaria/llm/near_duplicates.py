@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenaria.functions.deliveries import first_delivery
+from plenaria.functions.deliveries import first_rows, maybe_among
 from plenaria.llm.codepoints import pieces, to_points
 from plenaria.llm.components import components
 from plenaria.llm.words import mix, occurrence_hashes, word_counts, word_hashes
-from plenaria.runtime import cut, small, table
+from plenaria.runtime import cut, release, small, table
 
 SHINGLE = 4
 BANDS, ROWS = 40, 4
@@ -27,9 +27,13 @@ LOW_BITS = 4
 LEAST_ESTIMATE = 0.3
 LEAST_COMMON = 0.75
 MIN_WORDS = 60
+#: So many word sequences a task remembers, to leave out the bands of copies.
+RECENT = 50_000
 #: Band buckets of more classes than this are first thinned by rounds with leaders.
 BUCKET = 64
 LEADERS = 8
+#: Classes of a large bucket that one task rates against the others.
+PART = 4096
 #: A round that removes a smaller share than this ends the thinning: what is left is unlike each other.
 THINNED = 0.1
 #: Estimated similarity to a leader from which a class leaves its bucket.
@@ -96,44 +100,50 @@ def estimate(a: str, b: str) -> Column:
     return ((1 - differ / (BANDS * ROWS)) - chance) / (1 - chance)
 
 
-def signed(df: DataFrame, key: str, text: str, at: str, min_words: int) -> DataFrame:
-    """key, at, seq (128 bits of the word sequence), sig, bands of the rows with a key; the latter three are null without enough words.
+def signed(df: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """key, seq (128 bits of the word sequence), sig, bands and row (unique) of the rows with enough words.
 
-    The words of the text as stored must be enough; seq, sig and bands are those of its form, which must have a word.
+    The words of the text as stored must be enough; seq, sig and bands are those of its form, which must have a word. Where a
+    task has met a sequence lately, bands is null: the bands of its earlier row stand for the copy.
     """
     # fewer characters than this can't be min_words words
-    long = F.when(F.char_length(text) >= 2 * min_words - 1, F.col(text))
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(at).alias("at"), long.alias("text"))
-    out = rows.select("key", "at", F.lit(None).cast("binary").alias("seq"), *(F.lit(None).cast("array<bigint>").alias(x) for x in ("sig", "bands"))).schema
+    rows = df.where(F.char_length(text) >= 2 * min_words - 1).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    out = rows.select("key", F.lit(None).cast("binary").alias("seq"), *(F.lit(None).cast("array<bigint>").alias(x) for x in ("sig", "bands"))).schema
 
     def convert(batches):
+        met: dict[bytes, None] = {}
         for batch in batches:
-            for part in pieces(batch, 2, 400_000):
-                stored = to_points(part.column(2))
+            for part in pieces(batch, 1, 400_000):
+                stored = to_points(part.column(1))
                 hashes, offsets = word_hashes(*stored)
-                fit = (word_counts(*stored) >= min_words) & (np.diff(offsets) > 0)
-                if not fit.all():
-                    kept = part.take(pa.array(np.flatnonzero(~fit)))
-                    yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *(pa.nulls(len(kept), t) for t in (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=out.names)
-                enough = np.flatnonzero(fit)
+                enough = np.flatnonzero((word_counts(*stored) >= min_words) & (np.diff(offsets) > 0))
                 n = np.diff(offsets)[enough]
-                index = np.repeat(offsets[enough] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                hashes, offsets = hashes[index], np.append(0, np.cumsum(n))
                 if not len(n):
                     continue
-                minima = signatures(hashes, offsets)
+                index = np.repeat(offsets[enough] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                hashes, offsets = hashes[index], np.append(0, np.cumsum(n))
                 place = (np.arange(len(hashes)) - np.repeat(offsets[:-1], n)).astype(np.uint64)
                 seq = np.stack([np.add.reduceat(mix(hashes + mix(place + np.uint64(s))), offsets[:-1]) for s in (1, 1 << 40)], axis=1)
-                kept = part.take(pa.array(enough))
-                arrays = [
-                    kept.column(0),
-                    kept.column(1),
-                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(seq.tobytes())]).cast(pa.binary()),
-                    *(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1), pa.int64())) for m in (packed(minima), band_keys(minima))),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+                new = np.ones(len(n), bool)
+                for k, x in enumerate(map(bytes, seq)):
+                    new[k] = x not in met
+                    met[x] = None
+                while len(met) > RECENT:
+                    del met[next(iter(met))]
+                minima = signatures(hashes, offsets)
+                bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(new)).astype(np.int32) * BANDS), pa.array(band_keys(minima[new]).reshape(-1), pa.int64()), mask=pa.array(~new))
+                sig = packed(minima)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(enough)),
+                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(seq.tobytes())]).cast(pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * sig.shape[1]), pa.array(sig.reshape(-1), pa.int64())),
+                        bands,
+                    ],
+                    names=out.names,
+                )
 
-    return rows.mapInArrow(convert, out)
+    return rows.mapInArrow(convert, out).withColumn("row", F.monotonically_increasing_id())
 
 
 def bags(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -150,17 +160,30 @@ def bags(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(convert, rows.select("key", F.array(F.lit(0).cast("bigint")).alias("bag")).schema)
 
 
-def candidate_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shared_bands(signs: DataFrame, ids: DataFrame) -> DataFrame:
+    """band, id, n: the classes of each band that more than one class has, and their number. ids: row, id.
+
+    The bands of all rows are shuffled once, by band; counting and joining go on from there.
+    """
+    partitions = int(signs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = signs.where("bands IS NOT NULL").select("row", F.explode("bands").alias("band")).repartition(partitions, "band")
+    met = rows.groupBy("band").agg(F.min("row").alias("_least"), F.max("row").alias("_most")).where("_least < _most").select("band")
+    members = cut(rows.join(met.hint("shuffle_hash"), "band").select("band", "row"))
+    found = members.join(ids, "row").select("band", "id").distinct()
+    sizes = found.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    out = cut(found.join(sizes, "band"))
+    release(members)
+    return out
+
+
+def candidate_pairs(reps: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs a < b of representatives that share a band and whose estimate is high enough, and the large buckets
-    (band, id), of which more may be wanted. reps: id (long), sig, bands.
+    (band, id), of which more may be wanted. reps: id (long), sig. shared: band, id, n.
 
     In a bucket of a few classes every pair is rated. A large bucket may hold one huge group or many texts of like wording:
     its members are rated against a few leaders, those all but equal to a leader leave with the leaders, and so on until a
     round removes little. That finds most links of a huge group by few pairs; unlinked_pairs() rates what it leaves open.
     """
-    members = reps.select("id", F.explode("bands").alias("band"))
-    sizes = cut(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = cut(members.join(small(sizes, 64), "band"))
     sig = lambda name: reps.select(F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"))
 
     def rated(pairs: DataFrame) -> DataFrame:
@@ -175,15 +198,18 @@ def candidate_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         leads = cut(many.groupBy("band", F.pmod("id", F.lit(LEADERS)).alias("k")).agg(F.min("id").alias("lead")).select("band", "lead"))
         versus = many.join(small(leads, 64), "band").where("id <> lead").select("band", "id", "lead")
         close = cut(rated(versus.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))))
-        out = cut(out.unionByName(close).distinct())
+        before, out = out, cut(out.unionByName(close).distinct())
+        release(before)
         same = close.where(F.col("estimate") >= ABSORB)
         same = same.select(F.col("a").alias("id"), F.col("b").alias("lead")).unionByName(same.select(F.col("b").alias("id"), F.col("a").alias("lead")))
         gone = versus.join(same, ["id", "lead"], "left_semi").select("band", "id").unionByName(leads.select("band", F.col("lead").alias("id")))
-        many = cut(many.join(gone, ["band", "id"], "left_anti"))
-        before, size = size, many.count()
-        if size > before * (1 - THINNED):
+        before, many = many, cut(many.join(gone, ["band", "id"], "left_anti"))
+        release(leads, close, before)
+        last, size = size, many.count()
+        if size > last * (1 - THINNED):
             break
-    return out.select("a", "b"), large
+    release(many)
+    return out, large
 
 
 def unlinked_pairs(large: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
@@ -191,17 +217,22 @@ def unlinked_pairs(large: DataFrame, reps: DataFrame, groups: DataFrame) -> Data
 
     large: band, id. groups: id, component — by the verified links so far; a pair within a component is connected whatever
     its own similarity, every other pair of a bucket is rated inside the join, which hands on only the similar ones. Of a
-    pair of two components one at least isn't of the bucket's largest, so a huge group is never joined with itself.
+    pair of two components one at least isn't of the bucket's largest, so a huge group is never joined with itself. The
+    first side of a bucket is cut into salted parts of about PART classes, which spread over tasks.
     """
     members = cut(large.join(groups, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")))
     sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = cut(sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", F.col("top.component").alias("top")))
-    rows = members.join(small(mixed, 64), "band").join(reps.select("id", "sig"), "id")
-    side = lambda x: rows.select("band", F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("component").alias(f"of_{x}"), (F.col("component") == F.col("top")).alias(f"top_{x}"))
-    a, b = side("a").where("not top_a"), side("b")
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where("k > 1")
+    mixed = cut(mixed.select("band", F.col("top.component").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / PART).cast("int").alias("parts")))
+    rows = members.join(small(mixed, 64), "band").join(reps, "id")
+    side = lambda x: rows.select("band", "parts", F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("component").alias(f"of_{x}"), (F.col("component") == F.col("top")).alias(f"top_{x}"))
+    a = side("a").where("NOT top_a").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int")).drop("parts")
+    b = side("b").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).drop("parts")
     apart = (F.col("of_a") != F.col("of_b")) & (F.col("top_b") | (F.col("a") < F.col("b")))
-    found = a.join(b, (a.band == b.band) & apart & (estimate("sig_a", "sig_b") >= LEAST_ESTIMATE))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = a.join(b, (a.band == b.band) & (a.part == b.part) & apart & (estimate("sig_a", "sig_b") >= LEAST_ESTIMATE))
+    out = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(members, mixed)
+    return out
 
 
 def alike(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
@@ -218,41 +249,46 @@ class NearDuplicates:
     key null: left out; text null, empty or of fewer than min_words words as stored: in no class. Repeated keys count by their first
     delivery. Exact copies (equal word sequences) are one class and take part as one. Extra columns don't matter.
 
-    members: key, id, seq — the class `id` (a long) of each key. links: a, b — verified pairs of classes. groups: id,
+    members: key, id — the class `id` (a long, unique) of each key. links: a, b — verified pairs of classes. groups: id,
     component — the classes that have a link, with the least class of their group. bags: id, bag of the linked classes.
     """
 
     def __init__(self, df: DataFrame, key: str = "speech_id", text: str = "speech_text", at: str = "delivered_at", min_words: int = MIN_WORDS, least: float = LEAST_COMMON) -> None:
         self.key = key
-        signs = cut(signed(df, key, text, at, min_words))
-        first = first_delivery(signs, {"seq": F.col("seq")}, "key", "at").where("seq is not null")
-        self.members = cut(first.withColumn("id", F.xxhash64("seq")).select(F.col("key").alias(key), "id", "seq"))
-        classes = self.members.groupBy("seq", "id").agg(F.min(key).alias("key"))
-        reps = signs.join(classes, ["seq", "key"]).select("id", "key", "sig", "bands").dropDuplicates(["id"])
-        reps = cut(reps)
-        pairs, large = candidate_pairs(reps)
-        pairs = cut(pairs)
-        self.bags = self._bags(df, reps, pairs, text, at)
+        self.first = first_rows(df, {"_text": F.col(text)}, key, at)
+        signs = cut(signed(self.first, key, "_text", min_words))
+        # a class is known by its 128 bits and numbered by its least row, so that no two are ever mixed up
+        classes = signs.groupBy("seq").agg(F.min("row").alias("id"))
+        self.members = cut(signs.select("key", "seq", "row").join(classes, "seq").select(F.col("key").alias(key), "id", "row"))
+        shared = shared_bands(signs, self.members.select("row", "id"))
+        reps = signs.select(F.col("row").alias("id"), "sig").join(shared.select("id").distinct(), "id", "left_semi")
+        self.reps = cut(reps)
+        release(signs)
+        pairs, large = candidate_pairs(self.reps, shared)
+        self.bags = self._bags(pairs)
         self.links = cut(alike(pairs, self.bags, least))
+        release(pairs)
         self.groups = self._groups()
-        rest = cut(unlinked_pairs(large, reps, self.groups))
+        rest = unlinked_pairs(large, self.reps, self.groups)
         if not rest.isEmpty():
-            self.bags = cut(self.bags.unionByName(self._bags(df, reps.join(self.bags, "id", "left_anti"), rest, text, at)))
+            self.bags = cut(self.bags.unionByName(self._bags(rest, self.bags)))
             more = cut(alike(rest, self.bags, least))
             if not more.isEmpty():
                 self.links = cut(self.links.unionByName(more))
                 self.groups = self._groups()
+        release(rest, shared)
         self.least = least
 
-    def _bags(self, df: DataFrame, reps: DataFrame, pairs: DataFrame, text: str, at: str) -> DataFrame:
-        """id, bag of those reps that are in a pair."""
+    def _bags(self, pairs: DataFrame, but: DataFrame | None = None) -> DataFrame:
+        """id, bag of the classes in pairs. Only texts that may be wanted are taken to pieces, where they are."""
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = cut(reps.select("id", "key").join(ids, "id"))
-        rows = df.select(F.col(self.key).alias("key"), F.col(text).alias("text"), F.col(at).alias("at"))
-        texts = rows.join(small(wanted, 64), "key").select("id", "key", "at", "text")
-        # a key's later deliveries may come along; the class's own text is the first one
-        texts = texts.groupBy("id").agg(F.min_by("text", F.coalesce("at", F.lit("9999-12-31").cast("timestamp"))).alias("text"))
-        return cut(bags(texts, "id", "text").withColumnRenamed("key", "id"))
+        if but is not None:
+            ids = ids.join(but, "id", "left_anti")
+        wanted = cut(self.members.join(ids, (F.col("row") == ids.id)).select(ids.id, F.col(self.key).alias("key")))
+        texts = maybe_among(self.first, self.key, wanted.select("key")).where("_maybe")
+        out = cut(bags(texts, self.key, "_text").join(small(wanted, 64), "key").select("id", "bag"))
+        release(wanted)
+        return out
 
     def _groups(self) -> DataFrame:
         return cut(components(self.links).select(F.col("node").alias("id"), "component"))

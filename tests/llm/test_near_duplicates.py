@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from plenaria import runtime
 from plenaria.llm import near_duplicates as D
 from plenaria.llm.codepoints import to_points
 from plenaria.llm.components import components
@@ -119,11 +120,28 @@ def outer_version(rng):
     return [(f"f{k}", " ".join(w)) for k, w in enumerate(family)] + [("inner", " ".join(inner)), ("outer", " ".join(outer))]
 
 
-def test_the_only_link_of_an_outer_version_is_kept(spark):
+def test_the_only_link_of_an_outer_version_is_kept(spark, monkeypatch):
     texts = outer_version(random.Random(2))
     want = brute(texts)
     assert [p for p in want if "outer" in p] == [("inner", "outer")]
     assert {tuple(r) for r in D.NearDuplicates(table(spark, texts)).pairs().collect()} == want
+    # the same without any broadcast, with many parts of a bucket and without the memory for copies
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(D, "PART", 2)
+    monkeypatch.setattr(D, "RECENT", 0)
+    assert {tuple(r) for r in D.NearDuplicates(table(spark, texts + [("copy", texts[0][1])])).pairs().collect()} == brute([*texts, ("copy", texts[0][1])])
+
+
+def test_versions_at_the_border_of_a_large_bucket(spark):
+    """100 versions of a text with two words changed, and further texts that share 151 of 200 words with one of them each."""
+    rng = random.Random(12)
+    base = made(rng, 200)
+    family = [[f"v{k}" if j in (k, k + 99) else w for j, w in enumerate(base)] for k in range(100)]
+    outer = [family[k][:151] + [f"o{k}x{j}" for j in range(49)] for k in range(60)]
+    texts = [(f"f{k}", " ".join(w)) for k, w in enumerate(family)] + [(f"o{k}", " ".join(w)) for k, w in enumerate(outer)]
+    want = brute(texts)
+    assert sum("o" in a + b for a, b in want) >= 60
+    assert {tuple(r) for r in D.NearDuplicates(table(spark, texts)).pairs().collect()} == want
 
 
 def test_words_are_counted_on_the_text_as_stored(spark):
