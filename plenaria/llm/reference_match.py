@@ -36,26 +36,40 @@ def _tokens(found: list[str]) -> frozenset[str]:
     return frozenset(out)
 
 
-def views(value: str, entry_words: list[str]) -> list[list[str]]:
-    """The different token sets of a typed value. entry_words: the words of its country's entries, for cut-off words."""
-
-    def spelled(text: str) -> list[list[str]]:
-        """The words of a text; a cut-off word stands for each entry word that it may be the begin of, in a reading of its own."""
-        readings: list[list[str]] = [[]]
-        for m in re.finditer(r"([^\W_]+)(\.?)", fold(text)):
-            w, dot = m.groups()
-            full = [e for e in entry_words if e.startswith(w) and len(e) > len(w)] if dot and len(w) > 1 else []
-            if not 0 < len(full) <= 3 or len(readings) * len(full) > 27:
-                full = [w]
-            readings = [r + [e] for r in readings for e in full]
-        return readings
+def readings(text: str, names: list[list[str]]) -> list[list[str]]:
+    """The ways to read a text's words. names: the words of each entry's name.
 
+    A cut-off word (with a dot) stands for an entry's word that it may be the begin of. Each entry gives readings of its own,
+    as only its own words bring a value closer to it: where it has several words for one beginning, the cut-off words take
+    them in turn, beginning with each of them once. A text that no entry completes is read as it stands.
+    """
+    found = [m.groups() for m in re.finditer(r"([^\W_]+)(\.?)", fold(text))]
+    plain = [w for w, _ in found]
+    short = {w for w, dot in found if dot and len(w) > 1}
+    out: set[tuple[str, ...]] = set()
+    for words_ in names if short else []:
+        full = {w: [e for e in words_ if e.startswith(w) and len(e) > max(3, len(w))] for w in short}
+        for turn in range(max(map(len, full.values()))):
+            met: dict[str, int] = {}
+            reading = []
+            for w, dot in found:
+                if dot and full.get(w):
+                    reading.append(full[w][(met.setdefault(w, 0) + turn) % len(full[w])])
+                    met[w] += 1
+                else:
+                    reading.append(w)
+            out.add(tuple(reading))
+    return sorted(map(list, out)) or [plain]
+
+
+def views(value: str, names: list[list[str]]) -> list[list[str]]:
+    """The different token sets of a typed value. names: the words of its country's entries, for cut-off words."""
     bare = REMARKS.sub(" ", value)
     outer = ASIDE.sub(" ", bare)
     parts = [bare, outer, *ASIDE.findall(bare), *re.split(r"/| - ", outer)]
     found = set()
-    for p in [*parts, value]:
-        for ws in spelled(p):
+    for p in {*parts, value}:
+        for ws in readings(p, names):
             rest = [w for w in ws if w not in GROUP_WORDS]
             found |= {_tokens(ws), _tokens(rest)}
             run = "".join(rest)
@@ -107,16 +121,16 @@ def match_values(values: DataFrame, entries: DataFrame, threshold: float = THRES
     missing = F.col("value").isNull() | F.lower(F.trim(F.col("value"))).isin(*MISSING)
     distinct = values.where(~missing).select("country", "field", "value").distinct()
     distinct = cut(distinct.withColumn("id", F.sha2(F.concat_ws("\u0001", F.coalesce("country", F.lit("\u0002")), "field", "value"), 256)))
-    # entries of a reference list: the distinct words of a country and field travel with its values
+    # entries of a reference list: the words of a country's and field's names travel with its values
     known = entries.where(F.col("name").isNotNull()).select("country", "field", "ref_id", "name").distinct()
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<array<string>>")
     def entry_words(names: pd.Series) -> pd.Series:
-        return names.map(lambda x: sorted({w for name in x for w in words(name) if len(w) > 3}))
+        return names.map(lambda x: [words(name) for name in sorted(x)])
 
     @F.pandas_udf("array<array<string>>")
     def value_views(value: pd.Series, of: pd.Series) -> pd.Series:
-        return pd.Series([views(v, list(w) if w is not None else []) for v, w in zip(value, of, strict=True)])
+        return pd.Series([views(v, [list(x) for x in w]) for v, w in zip(value, of, strict=True)])
 
     @F.pandas_udf("array<string>")
     def name_tokens(names: pd.Series) -> pd.Series:

@@ -44,3 +44,14 @@ def test_missing_ties_repeats_and_empty(spark):
     assert match(spark, ("Germany", "party", "freie liste"), entries=tied) == {("Germany", "party", "freie liste"): 7}
     assert match(spark) == {}
     assert match(spark, ("Germany", "party", "GAL"), entries=[]) == {("Germany", "party", "GAL"): 0}
+
+
+def test_cut_off_words_have_as_many_readings_as_they_need(spark):
+    # more continuations in the list than any fixed number, and more cut-off words in a value
+    entries = [("Germany", "role", k, f"Vor{chr(97 + k % 26)}{chr(97 + k // 26)}sitzende des Ausschusses") for k in range(1, 60)]
+    entries.append(("Germany", "role", 99, "Parlamentarische Staatssekretärin beim Bundesminister für Verkehr und Parlamentsfragen"))
+    got = match(spark, ("Germany", "role", "Vorb. des Aussch."), ("Germany", "role", "Parl. Staatss. b. Bundesm. f. Verk. u. Parl."), entries=entries)
+    assert got["Germany", "role", "Parl. Staatss. b. Bundesm. f. Verk. u. Parl."] == 99
+    assert got["Germany", "role", "Vorb. des Aussch."] in {k for k in range(1, 60) if k % 26 == 1}
+    assert R.readings("p. p. x", [["parlament", "partei"]]) == [["p", "p", "x"]]
+    assert R.readings("pa. pa. x", [["parlament", "partei"], ["y"]]) == [["parlament", "partei", "x"], ["partei", "parlament", "x"]]
