@@ -19,6 +19,7 @@ QUERIES = {
     "p6_sample": stable_sample.p6_sample,
     "p7_found": quota_sample.p7_found,
     "p7_report": quota_sample.p7_report,
+    "p7_targets": quota_sample.p7_targets,
     "p7_sample": quota_sample.p7_sample,
     "p8_ids": tokens.p8_ids,
     "p9_found": mixing.p9_found,

@@ -2,8 +2,8 @@
 
 Only counts of the cross-classified cells go to the driver; their number is bounded by the cells that the targets define,
 whatever the rows. A minimum-cost flow turns them into integer quotas: supply enters the targets in steps (minimum rows,
-whole share, rounding unit, refill), leaves through the cells' availability, and what a target asks beyond that leaves
-through its slack arc, which is the report. The rows of each quota are the first ones in a seeded hash order, drawn without
+whole share, rounding unit, refill) and leaves through the cells' availability. What a target asks beyond its cells leaves
+through its slack arc: with all cells to itself that's its shortfall, beside the other targets what it must do without. The rows of each quota are the first ones in a seeded hash order, drawn without
 sorting a cell.
 """
 
@@ -24,7 +24,7 @@ from plenaria.runtime import cut, table
 MIN_WORDS = 40
 SHARE_OF_ROWS = Decimal("0.1")
 SEED = "plenaria-quota-1"
-REPORT = "target_id int, asked bigint, available bigint, quota bigint, shortfall bigint"
+REPORT = "target_id int, asked bigint, available bigint, quota bigint, shortfall bigint, contested bigint"
 
 
 def period_group(date: Column) -> Column:
@@ -75,22 +75,28 @@ def quotas(counts: dict[str, int], targets: list, eligible_rows: int) -> tuple[l
         share = Decimal(r.share or 0) * size
         asks[r.target_id] = (max(int(share.to_integral_value(ROUND_CEILING)), r.min_rows or 0), share)
 
-    def network(arcs) -> tuple[Network, dict, dict]:
+    def network(arcs, own: bool = False) -> tuple[Network, dict, dict]:
+        """Targets and cells; own: every target has all rows of its cells to itself."""
         net, into, through = Network(), {}, {}
         for r in targets:
             into[r.target_id] = [net.arc("source", r.target_id, capacity, cost) for capacity, cost in arcs(r)]
             for cell, n in counts.items():
                 if str(r.target_id) in cell.split(","):
-                    net.arc(r.target_id, ("cell", cell), n)
+                    net.arc(r.target_id, ("cell", r.target_id, cell) if own else ("cell", cell), n)
+                    if own:
+                        net.arc(("cell", r.target_id, cell), "sink", n)
         for cell, n in counts.items():
             through[cell] = net.arc(("cell", cell), "sink", n)
         return net, into, through
 
-    # what is asked, with slack arcs for what the cells can't give
-    net, _, _ = network(lambda r: [(asks[r.target_id][0], 0)])
-    slack = {r.target_id: net.arc(r.target_id, "sink", asks[r.target_id][0], 1000) for r in targets}
-    net.send("source", "sink", sum(a for a, _ in asks.values()))
-    short = {t: net.flow(k) for t, k in slack.items()}
+    def slack(own: bool) -> dict[int, int]:
+        """What of each target's rows leaves through its slack arc, which is dearer than any cell."""
+        net, _, _ = network(lambda r: [(asks[r.target_id][0], 0)], own)
+        arcs = {r.target_id: net.arc(r.target_id, "sink", asks[r.target_id][0], 1000) for r in targets}
+        net.send("source", "sink", sum(a for a, _ in asks.values()))
+        return {t: net.flow(k) for t, k in arcs.items()}
+
+    short, beside = slack(True), slack(False)
 
     # the sample itself: minimum rows first, then whole shares, then rounding units by their remainder, then a refill
     def steps(r):
@@ -104,7 +110,7 @@ def quotas(counts: dict[str, int], targets: list, eligible_rows: int) -> tuple[l
     net, into, through = network(steps)
     net.send("source", "sink", size)
     available = {r.target_id: sum(n for cell, n in counts.items() if str(r.target_id) in cell.split(",")) for r in targets}
-    report = [(t, asks[t][0], available[t], sum(map(net.flow, into[t])), short[t]) for t in asks]
+    report = [(t, asks[t][0], available[t], sum(map(net.flow, into[t])), short[t], beside[t]) for t in asks]
     return report, {cell: net.flow(k) for cell, k in through.items() if net.flow(k)}
 
 
@@ -118,7 +124,8 @@ def plan(rows: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[tuple], d
 
 
 def quota_report(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target: target_id, asked, available, quota (rows that the sample takes), shortfall (asked and not there).
+    """One row per target: target_id, asked, available, quota (rows that the sample takes), shortfall (asked and not there),
+    contested (asked and not there if all targets are to have what they ask, each row once).
 
     A null bound, country or period is open. Rows in no target count for the sample's size only. Without rows or without
     targets every figure is 0 but what the minimum rows ask, or the report is empty.
@@ -136,7 +143,12 @@ def quota_sample(rows: DataFrame, targets: DataFrame, seed: str = SEED) -> DataF
 
 def p7_found(spark, sf_dir):
     report = quota_report(eligible(table(spark, sf_dir, "speeches")), table(spark, sf_dir, "sample_targets"))
-    return report.where("shortfall > 0 AND available < asked").select("target_id")
+    return report.where("shortfall > 0").select("target_id")
+
+
+def p7_targets(spark, sf_dir):
+    """What each target asks, finds and lacks."""
+    return p7_report(spark, sf_dir).select("target_id", "asked", "available", "shortfall")
 
 
 def p7_report(spark, sf_dir):
@@ -163,4 +175,7 @@ _ELIGIBLE = r"""
              FROM asked a LEFT JOIN eligible e ON e.country = a.country AND e.grp = a.period_group
               AND e.words >= coalesce(a.min_words, 0) AND e.words <= coalesce(a.max_words, 1000000000) GROUP BY ALL)
 """
-SQL = {"p7_found": f"WITH {_ELIGIBLE} SELECT target_id FROM report WHERE available < ask"}
+SQL = {
+    "p7_found": f"WITH {_ELIGIBLE} SELECT target_id FROM report WHERE available < ask",
+    "p7_targets": f"WITH {_ELIGIBLE} SELECT target_id, CAST(ask AS BIGINT) AS asked, available, CAST(greatest(ask - available, 0) AS BIGINT) AS shortfall FROM report",
+}

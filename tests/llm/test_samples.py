@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 from plenaria.llm import quota_sample as Q
 from plenaria.llm import stable_sample as S
@@ -71,6 +72,16 @@ def test_overlapping_targets_and_ties(spark):
     assert sum(r.quota for r in report) == 30 and all(r.shortfall == 0 for r in report)
 
 
+def test_slack_alone_and_beside_other_targets():
+    """Two targets over one cell of 30 rows: either could have what it asks, both together can't; the third lacks rows of its own."""
+    row = lambda t, share, least: SimpleNamespace(target_id=t, share=share, min_rows=least)
+    report, quota = Q.quotas({"1,2": 30, "3": 4}, [row(1, "0", 20), row(2, "0", 25), row(3, "0", 10)], 340)
+    by = {r[0]: r[1:] for r in report}
+    assert [by[t][3] for t in (1, 2, 3)] == [0, 0, 6]
+    assert by[1][4] + by[2][4] == 15 and by[3][4] == 6
+    assert by[1][2] + by[2][2] + by[3][2] == 34 == sum(quota.values()) and quota["3"] == 4
+
+
 def test_eligibility(spark):
     data = [("a", "fr", "01.02.2022", None, "mot " * 40, 0), ("b", "FR", None, None, "mot " * 40, 0), ("c", "France", "31.02.2022", None, "mot " * 40, 0),
             ("d", "France", "2022-01-01", None, "mot " * 39, 99), ("e", "France", "20220101", None, None, 99), (None, "France", "2022-01-01", None, "mot " * 50, 0)]
@@ -81,6 +92,6 @@ def test_eligibility(spark):
 def test_empty_tables(spark):
     rows = Q.eligible(deliveries(spark, 10)).limit(0)
     t = targets(spark, (1, "France", "control", None, None, 1.0, 3))
-    assert [tuple(r) for r in Q.quota_report(rows, t).collect()] == [(1, 3, 0, 0, 3)]
+    assert [tuple(r) for r in Q.quota_report(rows, t).collect()] == [(1, 3, 0, 0, 3, 3)]
     assert Q.quota_sample(rows, t).count() == 0
     assert Q.quota_report(rows, t.limit(0)).count() == 0
