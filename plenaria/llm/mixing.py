@@ -1,8 +1,10 @@
 """Problem 9: sources combined to target weights of the total tokens, each repeated a capped number of times.
 
-Budgets are set on a tree (domain, source, language): weights go down from the root, a node's part that its leaves can't
-give is offered to its siblings first and to its parent's siblings then. Each leaf's budget is spent in seeded epochs:
-whole passes over the leaf, then the token prefix of one more pass in that pass's own hash order.
+Budgets are set on a tree: domains, their languages, the sources in a language. A source's weight is spread over its
+languages by its own tokens, a node weighs what its sources weigh. Budgets go down from the root by weight; what a node's
+leaves can't give goes to its siblings first (the other sources of the same language and domain), then to its parent's (the
+domain's other languages), then to other domains. Each leaf's budget is spent in seeded epochs: whole passes over the leaf,
+then the token prefix of one more pass in that pass's own hash order.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from plenaria.runtime import cut, table
 
 SEED = "plenaria-mix-1"
 ROOT = "all"
+#: The domain of sources for which none is given.
+DOMAIN = "parliament"
+#: Tokens by which a budget may miss its target and still reach it, against rounding.
+ROUNDING = 1e-6
 REPORT = "source string, target_share double, available_tokens bigint, max_repeats int, target_tokens double, budget_tokens double, short boolean"
 
 
@@ -74,49 +80,79 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return cut(count_column(kept, "text", "tokens", vocabulary))
 
 
-def plan(sizes: DataFrame, targets: DataFrame) -> tuple[Node, list[tuple], dict[tuple[str, str], float]]:
+def tree(sums: dict[tuple[str, str], int], wanted: dict[str, tuple[float, int]], domains: dict[str, str]) -> Node:
+    """The tree of domains, languages and sources. sums: tokens by (source, lang); wanted: weight and repeats by source;
+    domains: the domain of a source, all others are of one."""
+    root = Node(ROOT, 0.0)
+    for source, (weight, repeats) in sorted(wanted.items()):
+        own = {lang: n for (s, lang), n in sorted(sums.items()) if s == source} or {"und": 0}
+        whole = sum(own.values())
+        for lang, n in own.items():
+            path = root
+            for name in (domains.get(source, DOMAIN), lang):
+                found = next((c for c in path.children if c.name == name), None)
+                if found is None:
+                    path.children.append(found := Node(name, 0.0))
+                path = found
+            path.children.append(Node(source, weight * n / whole if whole else weight / len(own), n * repeats))
+
+    def weigh(node: Node) -> float:
+        node.weight = sum(map(weigh, node.children)) if node.children else node.weight
+        return node.weight
+
+    weigh(root)
+    return root
+
+
+def leaves(root: Node) -> dict[tuple[str, str], Node]:
+    """The leaves by source and language."""
+    return {(leaf.name, lang.name): leaf for domain in root.children for lang in domain.children for leaf in lang.children}
+
+
+def plan(sizes: DataFrame, targets: DataFrame, domains: dict[str, str] | None = None) -> tuple[Node, list[tuple], dict[tuple[str, str], float]]:
     """The filled tree, the report rows and the tokens of each leaf. The driver gets one sum per source and language."""
     sums = {(r.source, r.lang): r.n for r in sizes.groupBy("source", "lang").agg(F.sum("tokens").alias("n")).collect()}
     total = sum(sums.values())
-    root, rows = Node(ROOT, 1.0), []
     wanted: dict[str, tuple[float, int]] = {}
     for r in targets.select(source_name().alias("source"), "weight", "max_repeats").where("source IS NOT NULL").collect():
         weight, repeats = wanted.get(r.source, (0.0, 0))
         wanted[r.source] = (weight + (r.weight or 0.0), max(repeats, r.max_repeats or 0))
-    for source, (weight, repeats) in sorted(wanted.items()):
-        leaves = [Node(lang, n, n * repeats) for (s, lang), n in sorted(sums.items()) if s == source]
-        root.children.append(Node(source, weight, 0.0, leaves))
+    root = tree(sums, wanted, domains or {})
     fill(root, float(total))
-    for node in root.children:
-        weight, repeats = wanted[node.name]
-        own = sum(n for (s, _), n in sums.items() if s == node.name)
-        rows.append((node.name, weight, own, repeats, weight * total, node.budget, own * repeats < weight * total))
+    budgets = dict.fromkeys(wanted, 0.0)
+    for (source, _), leaf in leaves(root).items():
+        budgets[source] += leaf.budget
+    rows = []
+    for source, (weight, repeats) in sorted(wanted.items()):
+        own = sum(n for (s, _), n in sums.items() if s == source)
+        # a leaf gets its target before anything is handed on, so a budget under the target means that there is no more
+        rows.append((source, weight, own, repeats, weight * total, budgets[source], budgets[source] < weight * total - ROUNDING))
     return root, rows, {k: float(v) for k, v in sums.items()}
 
 
-def mix_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def mix_report(sizes: DataFrame, targets: DataFrame, domains: dict[str, str] | None = None) -> DataFrame:
     """One row per wanted source; short: it can't reach its weight even when repeated max_repeats times.
 
     A source without documents has 0 tokens and is short unless its weight is 0. Sources named twice add their weights.
-    Without documents nothing is short, as the total is 0.
+    Without documents nothing is short, as the total is 0. Weights of more than 1 in all can't be reached by all: then every
+    source that gets less than its weight is short.
     """
-    return sizes.sparkSession.createDataFrame(plan(sizes, targets)[1], REPORT)
+    return sizes.sparkSession.createDataFrame(plan(sizes, targets, domains)[1], REPORT)
 
 
-def mix(sizes: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, seed: str = SEED, domains: dict[str, str] | None = None) -> DataFrame:
     """One row per document of the mix: doc_id, source, lang, tokens, copies.
 
     A leaf's whole epochs take every document; the rest of its budget is the longest prefix, in the hash order of that
     epoch, whose tokens fit. The repeats never pass max_repeats. Documents of other sources aren't taken.
     """
-    root, _, sums = plan(sizes, targets)
-    leaves = []
-    for node in root.children:
-        for leaf in node.children:
-            own = sums[node.name, leaf.name]
-            epochs = int(leaf.budget // own) if own else 0
-            leaves.append((node.name, leaf.name, epochs, float(leaf.budget - epochs * own)))
-    budgets = sizes.sparkSession.createDataFrame(leaves, "source string, lang string, _epochs int, _rest double")
+    root, _, sums = plan(sizes, targets, domains)
+    spent = []
+    for (source, lang), leaf in leaves(root).items():
+        own = sums.get((source, lang), 0.0)
+        epochs = int((leaf.budget + ROUNDING) // own) if own else 0
+        spent.append((source, lang, epochs, max(0.0, float(leaf.budget - epochs * own)) + ROUNDING))
+    budgets = sizes.sparkSession.createDataFrame(spent, "source string, lang string, _epochs int, _rest double")
     rows = sizes.join(F.broadcast(budgets), ["source", "lang"]).withColumn("_unit", unit_hash(seed, F.col("_epochs"), F.col("doc_id")))
     extra = hash_prefix(rows, ["source", "lang"], "_unit", F.col("tokens"), "_rest", "doc_id").withColumn("copies", F.lit(1))
     whole = rows.where("_epochs > 0").withColumn("copies", F.col("_epochs"))

@@ -1,3 +1,5 @@
+import random
+
 from plenaria.llm import mixing as M
 
 DDL = "doc_id long, text string, lang string, source string, tokens string"
@@ -22,6 +24,45 @@ def test_shortage_goes_to_siblings_first():
     assert M.fill(tree, 200) == 90 and [c.budget for c in tree.children] == [10, 100]
 
 
+def test_a_shortage_stays_in_its_language_and_domain_first():
+    """Source a is short; its French goes to the French sources of its domain, its German to the German ones."""
+    sums = {("a", "fr"): 90, ("a", "de"): 10, ("b", "fr"): 1000, ("c", "de"): 1000, ("d", "fr"): 1000}
+    wanted = {"a": (0.4, 1), "b": (0.2, 1), "c": (0.2, 1), "d": (0.2, 1)}
+    domains = {"a": "x", "b": "x", "c": "x", "d": "y"}
+    root = M.tree(sums, wanted, domains)
+    assert abs(root.weight - 1) < 1e-9 and [(n.name, round(n.weight, 9)) for n in root.children] == [("x", 0.8), ("y", 0.2)]
+    assert M.fill(root, 1000) == 0
+    got = {k: round(n.budget, 6) for k, n in M.leaves(root).items()}
+    assert got == {("a", "fr"): 90, ("a", "de"): 10, ("b", "fr"): 470, ("c", "de"): 230, ("d", "fr"): 200}
+    # without the languages, or without the domains, others would have taken it
+    flat = M.tree({("a", "und"): 100, ("b", "und"): 1000, ("c", "und"): 1000, ("d", "und"): 1000}, wanted, domains)
+    M.fill(flat, 1000)
+    assert {k[0]: round(n.budget, 6) for k, n in M.leaves(flat).items()} == {"a": 100, "b": 350, "c": 350, "d": 200}
+    one = M.tree(sums, wanted, {})
+    M.fill(one, 1000)
+    assert {k: round(n.budget, 6) for k, n in M.leaves(one).items()} == {("a", "fr"): 90, ("a", "de"): 10, ("b", "fr"): 335, ("c", "de"): 230, ("d", "fr"): 335}
+    apart = M.tree(sums, wanted, dict(zip("abcd", "abcd", strict=True)))
+    M.fill(apart, 1000)
+    assert {k: round(n.budget, 6) for k, n in M.leaves(apart).items()} == {("a", "fr"): 90, ("a", "de"): 10, ("b", "fr"): 300, ("c", "de"): 300, ("d", "fr"): 300}
+
+
+def test_short_sources_come_from_the_filled_tree():
+    """For random trees, a source's budget is under its target just if it can't reach it with all repeats."""
+    rng = random.Random(3)
+    for _ in range(300):
+        names = [f"s{k}" for k in range(rng.randint(1, 6))]
+        sums = {(s, lang): rng.randint(0, 90) for s in names for lang in rng.sample(["de", "fr", "it"], rng.randint(0, 3))}
+        raw = [rng.random() for _ in names]
+        wanted = {s: (w / sum(raw), rng.randint(1, 4)) for s, w in zip(names, raw, strict=True)}
+        total, root = sum(sums.values()), M.tree(sums, wanted, {s: rng.choice("xyz") for s in names})
+        M.fill(root, float(total))
+        for s, (weight, repeats) in wanted.items():
+            own = sum(n for (x, _), n in sums.items() if x == s)
+            budget = sum(n.budget for (x, _), n in M.leaves(root).items() if x == s)
+            assert budget <= own * repeats + 1e-6
+            assert (budget < weight * total - M.ROUNDING) == (own * repeats < weight * total - M.ROUNDING), (sums, wanted)
+
+
 def test_report_and_mix(spark):
     sizes = M.sized(documents(spark))
     assert sizes.where("source = 'small'").count() == 12 and sizes.where("doc_id IN (202, 203)").count() == 0
