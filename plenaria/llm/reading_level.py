@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plenaria.functions.ranks import unit_hash
 from plenaria.llm.codepoints import pieces, to_points
 from plenaria.llm.words import classes, mix, word_hashes
-from plenaria.runtime import cut, small, table
+from plenaria.runtime import cut, release, small, table
 
 MIN_WORDS = 30
 LEVELS = (1, 2, 3, 4)
@@ -68,13 +68,13 @@ def _marks() -> np.ndarray:
 
 
 def features(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each row, its language (index into LANGUAGES), syntax features and hashed word frequencies."""
+    """Words of each row, its language (index into LANGUAGES), syntax features and the counts of its hashed words."""
     n = len(offsets) - 1
     hashes, at = word_hashes(points, offsets, form=False)
     words = np.diff(at)
-    syntax, vocabulary, language = np.zeros((n, len(SYNTAX)), np.float32), np.zeros((n, HASHED), np.float32), np.full(n, len(LANGUAGES) - 1)
+    syntax, language = np.zeros((n, len(SYNTAX)), np.float32), np.full(n, len(LANGUAGES) - 1)
     if not len(hashes):
-        return words, language, syntax, vocabulary
+        return words, language, syntax, np.zeros((n, HASHED), np.int64)
     kind, _ = classes()
     inside = kind[points] == 1
     mark = _marks()[points]
@@ -139,9 +139,7 @@ def features(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     for k, name in enumerate(SYNTAX):
         syntax[:, k] = columns[name]
     slot = (mix(hashes) % np.uint64(HASHED)).astype(np.int64)
-    counts = np.bincount(rows_w * HASHED + slot, minlength=n * HASHED).reshape(n, HASHED)
-    vocabulary[:] = np.sqrt(counts / safe[:, None])
-    return words, language, syntax, vocabulary
+    return words, language, syntax, np.bincount(rows_w * HASHED + slot, minlength=n * HASHED).reshape(n, HASHED)
 
 
 def isotonic(scores: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,88 +237,117 @@ class Model:
         return self._round(self.borders, self.values, s).astype(np.int32)
 
 
-def _parts(batches, spot: int):
-    for batch in batches:
-        for part in pieces(batch, spot, 300_000):
-            yield part, *features(*to_points(part.column(spot)))
+FEATURES = "_words int, _language int, _syntax binary, _counts binary"
 
 
-def language_statistics(documents: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and spread of each syntax feature by language over all documents with enough words. A few rows reach the driver."""
+def featured(documents: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents of at least min_words words without their text, with FEATURES: taken from the texts once and written.
+
+    _syntax has the syntax features as 32-bit floats, _counts the slots and counts of the hashed words as pairs of 32-bit integers.
+    """
+    names = [c for c in documents.columns if c != text]
+    spot = documents.columns.index(text)
+    kinds = dict(x.split() for x in FEATURES.split(", "))
+    schema = documents.select(*names, *(F.lit(None).cast(t).alias(c) for c, t in kinds.items())).schema
+
+    def convert(batches):
+        for batch in batches:
+            for part in pieces(batch, spot, 300_000):
+                words, language, syntax, counts = features(*to_points(part.column(spot)))
+                keep = np.flatnonzero(words >= min_words)
+                kept = part.take(pa.array(keep))
+                row, slot = np.nonzero(counts[keep])
+                pairs = np.stack([slot, counts[keep][row, slot]], axis=1).astype(np.int32)
+                ends = np.searchsorted(row, np.arange(len(keep) + 1)) * pairs.itemsize * 2
+                found = [
+                    pa.array(words[keep], pa.int32()),
+                    pa.array(language[keep], pa.int32()),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * len(SYNTAX)), len(keep), [None, pa.py_buffer(syntax[keep].tobytes())]).cast(pa.binary()),
+                    pa.BinaryArray.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(pairs.tobytes())]),
+                ]
+                yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(kept.columns) if k != spot), *found], names=schema.names)
+
+    return cut(documents.mapInArrow(convert, schema))
+
+
+def arrays(table: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, syntax features and hashed word frequencies of rows with FEATURES."""
+    column = lambda c: table.column(table.schema.get_field_index(c))
+    syntax = np.frombuffer(b"".join(column("_syntax").to_pylist()), np.float32).reshape(-1, len(SYNTAX))
+    counts = column("_counts").to_pylist()
+    pairs = np.frombuffer(b"".join(counts), np.int32).reshape(-1, 2)
+    row = np.repeat(np.arange(len(counts)), [len(x) // 8 for x in counts])
+    vocabulary = np.zeros((len(counts), HASHED), np.float32)
+    vocabulary[row, pairs[:, 0]] = np.sqrt(pairs[:, 1] / np.maximum(column("_words").to_numpy(), 1)[row])
+    return column("_language").to_numpy().astype(np.int64), syntax, vocabulary
+
+
+def language_statistics(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of each syntax feature by language over all rows with FEATURES. A few rows reach the driver."""
 
     def sums(batches):
-        for _, words, language, syntax, _ in _parts(batches, 0):
-            for k in np.unique(language[words >= min_words]).tolist():
-                x = syntax[(language == k) & (words >= min_words)].astype(float)
+        for batch in batches:
+            language, every = batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, len(SYNTAX))
+            for k in np.unique(language).tolist():
+                x = every[language == k].astype(float)
                 yield pa.RecordBatch.from_pydict({"language": [k] * x.shape[1], "feature": list(range(x.shape[1])), "n": [len(x)] * x.shape[1], "s": x.sum(0).tolist(), "ss": (x**2).sum(0).tolist()})
 
-    partial = documents.select(text).mapInArrow(sums, "language long, feature long, n long, s double, ss double")
-    rows = partial.groupBy("language", "feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).collect()
+    partial = rows.select("_language", "_syntax").mapInArrow(sums, "language long, feature long, n long, s double, ss double")
+    got = partial.groupBy("language", "feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).collect()
     means, spreads = np.zeros((len(LANGUAGES), len(SYNTAX))), np.ones((len(LANGUAGES), len(SYNTAX)))
-    for r in rows:
+    for r in got:
         means[r.language, r.feature] = r.s / r.n
         spreads[r.language, r.feature] = np.sqrt(max(r.ss / r.n - (r.s / r.n) ** 2, 0)) + 1e-6
     return means, spreads
 
 
-def fit_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", graded: int = GRADED) -> Model:
-    """Fit the model. Statistics are taken over all documents; the ranker sees at most `graded` of the labelled ones.
+def fit_levels(rows: DataFrame, labels: DataFrame, key: str = "doc_id", graded: int = GRADED) -> Model:
+    """Fit the model. rows: key and FEATURES. Statistics are taken over all rows; the ranker sees at most about `graded` of the
+    labelled ones.
 
     Labels without key or level or with a level outside 1 to 4 are left out, repeated rows count once, and a document's grade
     is the mean of its graders'. Labels of documents that aren't there don't matter.
     """
-    model = Model(*language_statistics(documents, text))
+    model = Model(*language_statistics(rows))
     marks = labels.where(F.col("level").between(LEVELS[0], LEVELS[-1]) & F.col(key).isNotNull()).select(key, "grader", "level").distinct()
-    grades = marks.groupBy(key).agg(F.avg("level").alias("grade"))
+    grades = marks.groupBy(key).agg(F.avg("level").alias("_grade"))
     grades = cut(grades.withColumn("_unit", unit_hash("plenaria-levels", F.col(key))))
     n = grades.count()
     taken = grades.where(F.col("_unit") < graded / n) if n > graded else grades
-
-    def rows(batches):
-        for part, words, language, syntax, vocabulary in _parts(batches, 0):
-            keep = np.flatnonzero(words >= MIN_WORDS)
-            blob = lambda x: pa.array([r.tobytes() for r in x[keep]], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(keep)), part.column(2).take(pa.array(keep)), pa.array(language[keep], pa.int64()), blob(syntax), blob(vocabulary.astype(np.float16))], names=["unit", "grade", "language", "syntax", "vocabulary"])
-
-    # at most about `graded` rows: the texts stay where they are
-    seen = documents.join(small(taken, 64), key).select(text, "_unit", "grade").mapInArrow(rows, "unit double, grade double, language long, syntax binary, vocabulary binary")
-    got = seen.toArrow().sort_by("unit")
-    array = lambda c, t, w: np.frombuffer(b"".join(got[c].to_pylist()), t).reshape(-1, w).astype(np.float32)
-    return model.fit(got["language"].to_numpy(), array("syntax", np.float32, len(SYNTAX)), array("vocabulary", np.float16, HASHED), got["grade"].to_numpy())
+    got = rows.join(small(taken, 64), key).select("_unit", "_grade", *(x.split()[0] for x in FEATURES.split(", "))).toArrow().sort_by("_unit")
+    release(grades)
+    return model.fit(*arrays(got), got["_grade"].to_numpy())
 
 
-def reading_levels(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document with at least min_words words: its other columns and level (int), added last.
+def reading_levels(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows with FEATURES with level (int) in their place, added last: one row per document with enough words.
 
-    Null, empty and short texts have no row. A text in an unknown language is held against the other such texts. If no two
-    grades were there to fit with, every level is null. Texts are read whole. A column called level already is a ValueError.
+    A text in an unknown language is held against the other such texts. If no two grades were there to fit with, every level
+    is null. A column called level already is a ValueError.
     """
-    names = [c for c in documents.columns if c != text]
+    names = [c for c in rows.columns if c not in FEATURES.replace(",", "").split()]
     if "level" in names:
         raise ValueError("there is a column level already")
-    spot = documents.columns.index(text)
-    schema = documents.select(*names).withColumn("level", F.lit(None).cast("int")).schema
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    schema = rows.select(*names).withColumn("level", F.lit(None).cast("int")).schema
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def convert(batches):
-        for part, words, language, syntax, vocabulary in _parts(batches, spot):
-            keep = np.flatnonzero(words >= min_words)
-            m = shared.value
-            level = pa.array(m.levels(language[keep], syntax[keep], vocabulary[keep]), pa.int32()) if m.fitted and len(keep) else pa.nulls(len(keep), pa.int32())
-            kept = part.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(kept.columns) if k != spot), level], names=schema.names)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2000):
+                part, m = batch.slice(begin, 2000), shared.value
+                level = pa.array(m.levels(*arrays(part)), pa.int32()) if m.fitted else pa.nulls(len(part), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), level], names=schema.names)
 
-    return documents.mapInArrow(convert, schema)
+    return rows.mapInArrow(convert, schema)
 
 
 def _levels(spark, sf_dir, *columns: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    model = fit_levels(documents, table(spark, sf_dir, "level_labels"))
-    return reading_levels(documents.select(*columns, "text"), model)
+    rows = featured(table(spark, sf_dir, "documents").select("doc_id", *columns, "text"))
+    return reading_levels(rows, fit_levels(rows, table(spark, sf_dir, "level_labels")))
 
 
 def p10_found(spark, sf_dir):
-    return _levels(spark, sf_dir, "doc_id")
+    return _levels(spark, sf_dir)
 
 
 def p10_profile(spark, sf_dir):

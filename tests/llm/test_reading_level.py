@@ -26,6 +26,7 @@ def tables(spark, n=400, seed=1):
 
 def test_held_out_accuracy_and_defined_cases(spark):
     docs, labels = tables(spark)
+    docs = L.featured(docs)
     model = L.fit_levels(docs, labels.where("doc_id % 8 < 4 OR doc_id IS NULL"))
     got = {r.doc_id: r.level for r in L.reading_levels(docs, model).collect()}
     assert set(got) == set(range(400)) and set(got.values()) <= {1, 2, 3, 4}
@@ -37,6 +38,7 @@ def test_held_out_accuracy_and_defined_cases(spark):
 
 def test_without_grades_and_without_rows(spark):
     docs, labels = tables(spark, 8)
+    docs = L.featured(docs)
     model = L.fit_levels(docs, labels.limit(0))
     assert [r.level for r in L.reading_levels(docs, model).collect()] == [None] * 8
     model = L.fit_levels(docs.limit(0), labels)
@@ -45,7 +47,7 @@ def test_without_grades_and_without_rows(spark):
 
 def test_the_bound_on_graded_documents(spark):
     docs, labels = tables(spark, 200)
-    model = L.fit_levels(docs, labels, graded=100)
+    model = L.fit_levels(L.featured(docs), labels, graded=100)
     assert model.fitted
 
 
