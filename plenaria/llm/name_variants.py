@@ -3,7 +3,7 @@
 Every distinct spelling of a country starts as a profile of its own. Profiles meet in blocks, matched ones are merged; the
 merged profile has the spellings, initials and ids of all its members, enters blocking with all of them again, and may now
 match what none of its members did, or be the only one left that an initial can stand for. This goes on until a round
-merges nothing. Clear matches (same parts, or slips) are merged first; a spelling that leaves parts out is tied to a
+merges nothing; a round blocks and rates the profiles that the last one changed, all other ratings stay. Clear matches (same parts, or slips) are merged first; a spelling that leaves parts out is tied to a
 profile only if no other fits it, or if the speaker ids it was delivered with speak for one.
 """
 
@@ -21,30 +21,50 @@ from plenaria.functions.countries import country_name
 from plenaria.functions.deliveries import first_delivery
 from plenaria.llm.components import components
 from plenaria.llm.folding import MISSING, fold, osa
-from plenaria.runtime import cut, table
+from plenaria.runtime import cut, release, small, table
 
 # Titles and forms of address (folded), particles of names.
-TITLES = frozenset(
-    "dr prof mr ir drs mag ing m mme mlle me monsieur madame maitre herr frau abg sr sra srta dª don dona senor senora on sen dott dottssa avv pan pani posel poslanka pos heer mevrouw mevr dhr".split()
+TITLES = (
+    "dr prof mr ir drs mag ing m mme mlle me monsieur madame maitre herr frau abg sr sra srta dª don dona senor senora on sen dott dottssa avv pan pani posel poslanka pos heer mevrouw mevr dhr"
 )
-PARTICLES = frozenset("de del della dello degli di da dal dalla du des d la le el los las van von vom zu zur zum z ten ter ter den der het 't v dos das y".split())
+PARTICLES = "de del della dello degli di da dal dalla du des d la le el los las van von vom zu zur zum z ten ter ter den der het 't v dos das y"
 # Short forms of given names (folded), by country.
 NICKNAMES = {
-    "Germany": "susi=susanne alex=alexander elli=elisabeth theo=theodor grete=margarete willi=wilhelm fritz=friedrich max=maximilian hannes=johannes hans=johannes kathe=katharina uli=ulrike gunter=gunther barbel=barbara",
+    "Germany": "susi=susanne alex=alexander elli=elisabeth theo=theodor grete=margarete willi=wilhelm fritz=friedrich max=maximilian hannes=johannes hans=johannes kathe=katharina uli=ulrike gunter=gunther",
     "France": "ginette=genevieve babette=elisabeth chris=christophe domi=dominique vero=veronique fred=frederic alex=alexandre jo=josephine steph=stephane max=maximilien ben=benoit",
     "Italy": "betta=elisabetta nora=eleonora mimmo=domenico beppe=giuseppe cesca=francesca rita=margherita nico=niccolo fede=federica toto=salvatore lele=raffaele sandro=alessandro lory=loredana",
     "Spain": "lola=dolores chus=jesus charo=rosario concha=concepcion vero=veronica merche=mercedes guille=guillermo paco=francisco nacho=ignacio pepe=jose",
     "Poland": "gosia=malgorzata ola=aleksandra aga=agnieszka zbyszek=zbigniew kasia=katarzyna krzysiek=krzysztof staszek=stanislaw wlodek=wlodzimierz jozek=jozef ela=elzbieta",
     "Netherlands": "toos=antonia mien=wilhelmina daan=daniel greet=margaretha bets=elisabeth koos=jacobus hans=johannes theo=theodorus henk=hendrik kees=cornelis",
 }
-SHORT = {c: dict(x.split("=") for x in text.split()) for c, text in NICKNAMES.items()}
-SHORT["Germany"].pop("barbel")
 # Words that begin a body's name (folded) and abbreviations of whole kinds.
 BODIES = (
     "ausschuss rechnungshof landesverband kommission bundesverband verband commission cour union comite federation conseil commissione corte unione comitato tribunal comision "
     "consejo federacion rekenkamer commissie provinciale bond raad izba komisja zwiazek rada"
-).split()
-KINDS = {"rh": "rechnungshof", "lv": "landesverband", "rk": "rekenkamer"}
+)
+KINDS = "rh=rechnungshof lv=landesverband rk=rekenkamer"
+
+
+class Lexicon:
+    """The words that names are read by; every list may be replaced. All words are folded, pairs are `short=whole`."""
+
+    def __init__(self, titles: str = TITLES, particles: str = PARTICLES, nicknames: dict[str, str] | None = None, bodies: str = BODIES, kinds: str = KINDS) -> None:
+        pairs = lambda text: dict(x.split("=") for x in text.split())
+        nicknames = NICKNAMES if nicknames is None else nicknames
+        self.titles, self.particles, self.bodies, self.kinds = frozenset(titles.split()), frozenset(particles.split()), bodies.split(), pairs(kinds)
+        self.short = {country: pairs(text) for country, text in nicknames.items()}
+        self.key = hash((titles, particles, tuple(sorted(nicknames.items())), bodies, kinds))
+
+    def __hash__(self) -> int:
+        return self.key
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Lexicon) and self.__dict__ == other.__dict__
+
+
+LEXICON = Lexicon()
+#: Profiles of a block that one task rates against the others.
+PART = 512
 CAMEL = re.compile(r"^((?:van|von|der|den|ten|ter|della|del|des|de|di|du|da|las|los|la|zu)+)(?=[A-ZÀ-Ž])")
 GLUED = re.compile(r"(?:van|von|der|den|ten|ter|della|del|des|de|di|du|da|las|los|la|zu)+")
 
@@ -71,17 +91,17 @@ def _plain(word: str, country: str) -> str:
 
 
 @functools.lru_cache(200_000)
-def parse(name: str, country: str) -> Name:
+def parse(name: str, country: str, lexicon: Lexicon = LEXICON) -> Name:
     text = re.sub(r"\s*\([^()]*\)\s*$", "", name.strip()).strip()
     left, comma, right = text.partition(",")
     words = [x for x in re.split(r"\s+", text.replace(",", " , ")) if x]
     flat = [x for x in words if x != ","]
     # bodies: a kind word (maybe cut off or slipped) or an abbreviation in mixed or plain capitals before the place
     order = [*right.split(), *left.split()] if comma else flat
-    if order and (kind := _kind(order, country)):
+    if order and (kind := _kind(order, country, lexicon)):
         place = [_plain(p, country) for w in order[kind:] for p in w.split("-")]
         kinds = tuple(_plain(w, country) + ("." if w.endswith(".") else "") for w in order[:kind])
-        if kind == 1 and not kinds[0].endswith(".") and len(kinds[0]) < 5 and kinds[0] not in BODIES:
+        if kind == 1 and not kinds[0].endswith(".") and len(kinds[0]) < 5 and kinds[0] not in lexicon.bodies:
             kinds = (f"={kinds[0]}",)
         return Name("", "", tuple(x for x in place if x), kinds)
 
@@ -93,16 +113,16 @@ def parse(name: str, country: str) -> Name:
                 low = piece[0].islower()
                 if "ª" in piece or low and GLUED.fullmatch(w):
                     continue
-                if not w or w in TITLES and not surname and len(w) > 1:
+                if not w or w in lexicon.titles and not surname and len(w) > 1:
                     continue
-                if w in PARTICLES and (len(w) > 1 or low) or low and len(w) == 1:
+                if w in lexicon.particles and (len(w) > 1 or low) or low and len(w) == 1:
                     continue
                 out += [x for x in (_plain(p, country) for p in piece.split("-")) if x]
         return out
 
     def untitled(tokens: list[str]) -> list[str]:
         k = 0
-        while k < len(tokens) - 1 and (w := _plain(tokens[k], country)) and ("ª" in tokens[k] or w in TITLES and (len(w) > 1 or k == 0 and country == "France" and len(tokens) > 2 - bool(comma)) or k + 1 < len(tokens) and w == "de" and _plain(tokens[k + 1], country) == "heer" or w == "d" and k > 0 and _plain(tokens[k - 1], country) in ("sr", "sra")):
+        while k < len(tokens) - 1 and (w := _plain(tokens[k], country)) and ("ª" in tokens[k] or w in lexicon.titles and (len(w) > 1 or k == 0 and country == "France" and len(tokens) > 2 - bool(comma)) or k + 1 < len(tokens) and w == "de" and _plain(tokens[k + 1], country) == "heer" or w == "d" and k > 0 and _plain(tokens[k - 1], country) in ("sr", "sra")):
             k += 1
         return tokens[k:]
 
@@ -120,26 +140,27 @@ def parse(name: str, country: str) -> Name:
             given, surname = every[:1], every[1:]
     if not given:
         given, surname = ([surname[0]], surname[1:]) if len(surname) > 1 else ([""], surname)
-    first = SHORT.get(country, {}).get(given[0], given[0])
+    first = lexicon.short.get(country, {}).get(given[0], given[0])
     return Name(first, given[0] if first != given[0] else "", (*given[1:], *surname), ())
 
 
-def _kind(words: list[str], country: str) -> int:
+def _kind(words: list[str], country: str, lexicon: Lexicon) -> int:
     """How many words at the begin name a body's kind, 0 for a person."""
     w = _plain(words[0], country)
     first = words[0]
     if len(words) < 2:
         return 0
-    known = any(osa(w, b, 1) <= 1 for b in BODIES) if len(w) > 4 else w in BODIES
-    cut_off = first.endswith(".") and len(w) >= 3 and w not in TITLES and any(b.startswith(w) for b in BODIES)
-    initials = 2 <= len(first) <= 4 and first.isalpha() and first[0].isupper() and first[-1].isupper() and w not in PARTICLES and w not in TITLES and not words[1].isupper() and "-" in words[-1] + words[1]
+    known = any(osa(w, b, 1) <= 1 for b in lexicon.bodies) if len(w) > 4 else w in lexicon.bodies
+    cut_off = first.endswith(".") and len(w) >= 3 and w not in lexicon.titles and any(b.startswith(w) for b in lexicon.bodies)
+    initials = 2 <= len(first) <= 4 and first.isalpha() and first[0].isupper() and first[-1].isupper() and w not in lexicon.particles and w not in lexicon.titles and not words[1].isupper() and "-" in words[-1] + words[1]
     initials = initials or 2 <= len(first) <= 4 and first.isalpha() and first[0].isupper() and first[-1].isupper() and any(c.islower() for c in first) and len(words) == 2
-    initials = initials or len(words) == 2 and first.isalpha() and first.isupper() and len(first) == 2 and w not in PARTICLES
+    initials = initials or len(words) == 2 and first.isalpha() and first.isupper() and len(first) == 2 and w not in lexicon.particles
     if known or cut_off:
         return max(1, len(words) - 1)
     return 1 if initials else 0
 
 
+@functools.lru_cache(500_000)
 def _word(a: str, b: str) -> int:
     """Slips between two words, 9 if they are too many for one word."""
     if a == b:
@@ -153,23 +174,23 @@ def _word(a: str, b: str) -> int:
     return d if d <= most else 9
 
 
-def _given(a: Name, b: Name, country: str) -> int:
+def _given(a: Name, b: Name, country: str, lexicon: Lexicon) -> int:
     """Slips between two given names; a short form that neither was typed as must fit the other's typing closely."""
     typed_a, typed_b = a.short or a.given, b.short or b.given
     best = 0 if a.given == b.given else _word(a.given, b.given)
     if not (a.short and b.short):
         best = min(best, _word(typed_a, typed_b))
     for typed, other in ((typed_a, b), (typed_b, a)):
-        for form in _forms(other.given, country)[1:]:
+        for form in _forms(other.given, country, lexicon)[1:]:
             if len(form) > 3 and osa(typed, form, 1) <= 1:
                 best = min(best, 1)
     return best
 
 
 @functools.cache
-def _forms(given: str, country: str) -> tuple[str, ...]:
+def _forms(given: str, country: str, lexicon: Lexicon) -> tuple[str, ...]:
     """A given name and its short forms."""
-    return (given, *(k for k, v in SHORT.get(country, {}).items() if v == given))
+    return (given, *(k for k, v in lexicon.short.get(country, {}).items() if v == given))
 
 
 def _bag(small: tuple[str, ...], large: tuple[str, ...]) -> tuple[int, int, int] | None:
@@ -192,26 +213,26 @@ def _bag(small: tuple[str, ...], large: tuple[str, ...]) -> tuple[int, int, int]
     return cost, used, shared
 
 
-def compare(a: Name, b: Name, country: str) -> tuple[int, int] | None:
+def compare(a: Name, b: Name, country: str, lexicon: Lexicon = LEXICON) -> tuple[int, int] | None:
     """(level, slips): 3 the same parts, 2 the same parts but for slips, 1 parts left out or initials; None: not the same."""
     if bool(a.body) != bool(b.body):
         return None
     if a.body:
         place = _bag(*sorted((a.rest, b.rest), key=len))
-        if not a.rest or not b.rest or place is None or len(a.rest) != len(b.rest) or place[1] or not _same_kind(a.body, b.body):
+        if not a.rest or not b.rest or place is None or len(a.rest) != len(b.rest) or place[1] or not _same_kind(a.body, b.body, lexicon):
             return None
         return (2 if place[0] else 3, place[0])
     small, large = sorted((a, b), key=lambda x: len(x.rest))
     if not small.rest:
         return None
     if len(small.given) == 1 or len(large.given) == 1:
-        firsts = [{x[:1] for x in _forms(n.given, country)} for n in (small, large)]
+        firsts = [{x[:1] for x in _forms(n.given, country, lexicon)} for n in (small, large)]
         if not firsts[0] & firsts[1]:
             return None
         # the initial of a short form stands behind that of the name itself
         given, used = int(small.given[:1] != large.given[:1]), int(len(small.given) != len(large.given))
     elif small.given and large.given:
-        given, used = _given(small, large, country), 0
+        given, used = _given(small, large, country, lexicon), 0
         if given == 9:
             return None
     else:
@@ -227,7 +248,7 @@ def compare(a: Name, b: Name, country: str) -> tuple[int, int] | None:
     return (2 if cost else 3, cost)
 
 
-def _same_kind(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+def _same_kind(a: tuple[str, ...], b: tuple[str, ...], lexicon: Lexicon) -> bool:
     def whole(x: tuple[str, ...]) -> bool:
         return not x[0].startswith("=") and not x[0].endswith(".")
 
@@ -239,9 +260,9 @@ def _same_kind(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     if short[0].endswith("."):
         return long_[0].startswith(short[0][:-1])
     letters = short[0][1:]
-    if letters in KINDS:
-        return _word(KINDS[letters], long_[0]) < 9
-    return letters in ("".join(w[0] for w in long_), "".join(w[0] for w in long_ if w not in PARTICLES))
+    if letters in lexicon.kinds:
+        return _word(lexicon.kinds[letters], long_[0]) < 9
+    return letters in ("".join(w[0] for w in long_), "".join(w[0] for w in long_ if w not in lexicon.particles))
 
 
 def _skeleton(word: str) -> str:
@@ -253,17 +274,17 @@ def _skeleton(word: str) -> str:
     return out
 
 
-def block_keys(names: list[str], country: str) -> list[str]:
+def block_keys(names: list[str], country: str, lexicon: Lexicon = LEXICON) -> list[str]:
     """Keys under which a profile meets others: of its surnames, with the initials that the given name may have, the begin, the
     end, and begin, end and letters of the consonants; and whole surnames. A slip or two leave one of them as it is."""
     out = set()
     for n in names:
-        p = parse(n, country)
+        p = parse(n, country, lexicon)
         if p.body:
             whole = "".join(p.rest)
             out |= {f"b{whole[:4]}", f"e{whole[-4:]}"}
             continue
-        initials = {x[:1] for x in _forms(p.given, country)}
+        initials = {x[:1] for x in _forms(p.given, country, lexicon)}
         for w in p.rest:
             if len(w) > 1:
                 k = _skeleton(w)
@@ -274,15 +295,15 @@ def block_keys(names: list[str], country: str) -> list[str]:
     return sorted(out)
 
 
-def match_profiles(a: list[str], b: list[str], country: str, ids_a: dict[str, int], ids_b: dict[str, int]) -> tuple[int, int, float, int]:
+def match_profiles(a: list[str], b: list[str], country: str, ids_a: dict[str, int], ids_b: dict[str, int], lexicon: Lexicon = LEXICON) -> tuple[int, int, float, int]:
     """level (0 none), slips, share of common speaker ids, and which of the two is the poorer one (0 or 1)."""
-    na, nb = {parse(x, country) for x in a}, {parse(x, country) for x in b}
+    na, nb = {parse(x, country, lexicon) for x in a}, {parse(x, country, lexicon) for x in b}
     fullness = lambda n: (n.full(), len(n.rest))
     top = lambda x: [n for n in x if fullness(n) == max(map(fullness, x))]
     top_a, top_b = top(na), top(nb)
-    if not any(compare(x, y, country) for x in top_a for y in top_b):
+    if not any(compare(x, y, country, lexicon) for x in top_a for y in top_b):
         return 0, 9, 0.0, 0
-    found = [r for x in na for y in nb if (r := compare(x, y, country))]
+    found = [r for x in na for y in nb if (r := compare(x, y, country, lexicon))]
     level, slips = max(found, key=lambda r: (r[0], -r[1]))
     common = sum(min(ids_a[k], ids_b[k]) for k in ids_a.keys() & ids_b.keys())
     votes = min(sum(ids_a.values()), sum(ids_b.values()))
@@ -312,24 +333,40 @@ def spellings(speeches: DataFrame, key: str = "speech_id") -> DataFrame:
 class Resolution:
     """The entities behind a table of spellings (country, name, ids: array of (sid, n)).
 
-    entities: country, pid, names — one row per entity; a spelling that matches nothing is an entity of its own. Spellings
+    entities: country, pid, names, ids — one row per entity; a spelling that matches nothing is an entity of its own. Spellings
     of different countries never match. Repeated rows of a spelling count once. Without rows there are no entities.
     rounds: how many rounds merged something.
     """
 
-    def __init__(self, names: DataFrame) -> None:
+    def __init__(self, names: DataFrame, lexicon: Lexicon = LEXICON) -> None:
+        self.lexicon = lexicon
         once = names.where("country IS NOT NULL AND name IS NOT NULL").groupBy("country", "name").agg(F.flatten(F.collect_list("ids")).alias("ids"))
         self.entities = cut(once.select(F.xxhash64("country", "name").alias("pid"), "country", F.array("name").alias("names"), "ids"))
+
+        @F.pandas_udf("array<string>")
+        def keys(names: pd.Series, country: pd.Series) -> pd.Series:
+            return pd.Series([block_keys(list(n), c, lexicon) for n, c in zip(names, country, strict=True)], dtype=object)
+
+        self.blocks = cut(self.entities.select("pid", "country", F.explode(keys("names", "country")).alias("key")).select("pid", F.xxhash64("country", "key").alias("key")))
+        self.rated = self._rate(self._meet(self.blocks))
         self.rounds = 0
-        self.rejected = None
         while (edges := self._edges()) is not None:
             self._merge(edges)
             self.rounds += 1
 
-    def _edges(self) -> DataFrame | None:
-        @F.pandas_udf("array<string>")
-        def keys(names: pd.Series, country: pd.Series) -> pd.Series:
-            return pd.Series([block_keys(list(n), c) for n, c in zip(names, country, strict=True)], dtype=object)
+    def _meet(self, fresh: DataFrame) -> DataFrame:
+        """Distinct pairs a < b of profiles that share a key, one at least of them fresh (pid, key). A block of many profiles is
+        met in salted parts, so that no task has all of its pairs."""
+        hot = cut(self.blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+        hot = small(hot, 32)
+        a = fresh.join(hot, "key", "left").select("key", F.col("pid").alias("x"), F.pmod(F.xxhash64("pid", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+        b = self.blocks.join(hot, "key", "left").select("key", F.col("pid").alias("y"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        met = a.join(b, ["key", "part"]).where("x <> y")
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def _rate(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that match, with level, slips, overlap and which of the two is the poorer one."""
+        lexicon = self.lexicon
 
         @F.pandas_udf("level int, slips int, overlap double, poorer int")
         def rate(a: pd.Series, b: pd.Series, country: pd.Series, ids_a: pd.Series, ids_b: pd.Series) -> pd.DataFrame:
@@ -339,21 +376,20 @@ class Resolution:
                     out[x["sid"]] = out.get(x["sid"], 0) + x["n"]
                 return out
 
-            rows = [match_profiles(list(x), list(y), c, votes(i), votes(j)) for x, y, c, i, j in zip(a, b, country, ids_a, ids_b, strict=True)]
+            rows = [match_profiles(list(x), list(y), c, votes(i), votes(j), lexicon) for x, y, c, i, j in zip(a, b, country, ids_a, ids_b, strict=True)]
             return pd.DataFrame(rows, columns=["level", "slips", "overlap", "poorer"])
 
-        blocks = self.entities.select("pid", "country", F.explode(keys("names", "country")).alias("key"))
-        a, b = blocks.select("country", "key", F.col("pid").alias("a")), blocks.select("country", "key", F.col("pid").alias("b"))
-        met = a.join(b, ["country", "key"]).where("a < b").select("a", "b").distinct()
         side = lambda k: self.entities.select(F.col("pid").alias(k), F.col("country").alias(f"country_{k}"), F.col("names").alias(f"names_{k}"), F.col("ids").alias(f"ids_{k}"))
-        both = met.join(side("a"), "a").join(side("b"), "b")
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where("country_a = country_b")
         rated = both.select("a", "b", rate("names_a", "names_b", "country_a", "ids_a", "ids_b").alias("r")).select("a", "b", "r.*")
-        rated = cut(rated.where("level > 0"))
-        clear = rated.where("level > 1")
+        return cut(rated.where("level > 0"))
+
+    def _edges(self) -> DataFrame | None:
+        clear = self.rated.where("level > 1")
         if not clear.isEmpty():
             return clear.select("a", "b")
         # what is left are spellings with parts left out: each is tied to one profile or to none
-        poor = rated.select(F.expr("if(poorer = 0, a, b)").alias("x"), F.expr("if(poorer = 0, b, a)").alias("y"), "slips", "overlap")
+        poor = self.rated.select(F.expr("if(poorer = 0, a, b)").alias("x"), F.expr("if(poorer = 0, b, a)").alias("y"), "slips", "overlap")
         rank = Window.partitionBy("x").orderBy(F.desc("overlap"), "slips", "y")
         every = Window.partitionBy("x")
         ranked = poor.withColumns({"place": F.row_number().over(rank), "n": F.count(F.lit(1)).over(every), "next": F.lead("overlap").over(rank), "next_slips": F.lead("slips").over(rank)})
@@ -361,10 +397,22 @@ class Resolution:
         return None if sure.isEmpty() else cut(sure.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     def _merge(self, edges: DataFrame) -> None:
-        merged = components(edges)
-        moved = self.entities.join(merged, self.entities.pid == merged.node, "left").withColumn("pid", F.coalesce("component", "pid"))
-        grouped = moved.groupBy("pid").agg(F.min("country").alias("country"), F.flatten(F.collect_list("names")).alias("names"), F.flatten(F.collect_list("ids")).alias("ids"))
-        self.entities = cut(grouped)
+        """Merge along the edges; only the merged profiles are put into their blocks and rated again."""
+        nodes = cut(components(edges).withColumnRenamed("node", "pid"))
+        of = small(nodes, 48)
+        touched = small(nodes.select("pid"), 32)
+        entities, blocks, rated = self.entities, self.blocks, self.rated
+        moved = entities.join(of, "pid").groupBy(F.col("component").alias("pid"))
+        moved = moved.agg(F.min("country").alias("country"), F.flatten(F.collect_list("names")).alias("names"), F.flatten(F.collect_list("ids")).alias("ids"))
+        self.entities = cut(entities.join(touched, "pid", "left_anti").unionByName(moved))
+        fresh = cut(blocks.join(of, "pid").select(F.col("component").alias("pid"), "key").distinct())
+        self.blocks = cut(blocks.join(touched, "pid", "left_anti").select("pid", "key").unionByName(fresh))
+        kept = rated
+        for end in ("a", "b"):
+            kept = kept.join(touched.withColumnRenamed("pid", end), end, "left_anti")
+        again = self._rate(self._meet(fresh))
+        self.rated = cut(kept.select(again.columns).unionByName(again))
+        release(entities, blocks, rated, again, fresh, nodes)
 
     def pairs(self) -> DataFrame:
         """country, name_a, name_b: all pairs of different spellings of one entity, name_a < name_b by code point."""
