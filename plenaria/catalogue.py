@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenaria import schema
+from plenaria import catalogue_sources, schema
 from plenaria.functions import text as T
 from plenaria.functions.countries import CODES, COUNTRIES, country_name
 from plenaria.operators import aggregate, controls, corpus, cost, provenance, quality, review, sampling, scoring
@@ -312,11 +312,11 @@ def qa_country_years(spark, d):
 
 
 @query(
-    f"""WITH {_CORPUS} SELECT d.country AS country, CAST(y.year AS INTEGER) AS year FROM (VALUES {', '.join(f"('{c}')" for c in COUNTRIES)}) d(country), range(2018, 2026) y(year)
-      WHERE NOT EXISTS (SELECT 1 FROM corpus c WHERE c.country = d.country AND year(c.day) = y.year AND c.party IS NULL)"""
+    f"""WITH {_CORPUS} SELECT d.country AS country, CAST(y.year AS INTEGER) AS year FROM (VALUES {', '.join(f"('{c}')" for c in COUNTRIES)}) d(country), range(2010, 2031) y(year)
+      WHERE NOT EXISTS (SELECT 1 FROM corpus c WHERE c.country = d.country AND year(c.day) = y.year)"""
 )
 def coverage_missing(spark, d):
-    return quality.missing_coverage(_corpus(spark, d, "country", "day", "party").where("party IS NULL"))
+    return quality.missing_coverage(_corpus(spark, d, "country", "day"), years=(2010, 2030))
 
 
 _NUMBER = "CAST(nullif(regexp_extract(speech_id, '-([0-9]+)$', 1), '') AS BIGINT)"
@@ -434,13 +434,13 @@ _STATUS = rf"""CASE WHEN n = '' THEN 'mismatch' WHEN contains(h, n) THEN 'verifi
 
 
 @query(
-    rf"""WITH p AS (SELECT speech_id, delivered_at, {_NORMAL('speech_text')} AS n, {_NORMAL('raw_text')} AS h, {_LOOSE('speech_text')} AS b, {_LOOSE('raw_text')} AS lh
-        FROM speeches WHERE raw_text IS NOT NULL AND speech_text IS NOT NULL),
+    rf"""WITH p AS (SELECT speech_id, delivered_at, {_NORMAL("coalesce(speech_text, '')")} AS n, {_NORMAL("coalesce(raw_text, '')")} AS h, {_LOOSE("coalesce(speech_text, '')")} AS b, {_LOOSE("coalesce(raw_text, '')")} AS lh
+        FROM speeches),
       q AS (SELECT *, [trim(x) FOR x IN string_split_regex(n, '[.!?;:]\s+') IF length(trim(x)) >= 25] AS segs FROM p)
       SELECT speech_id, delivered_at, {_STATUS} AS status FROM q"""
 )
 def containment(spark, d):
-    rows = table(spark, d, "speeches").where("raw_text IS NOT NULL AND speech_text IS NOT NULL")
+    rows = table(spark, d, "speeches")
     return rows.select("speech_id", "delivered_at", review.containment(F.col("speech_text"), F.col("raw_text")).alias("status"))
 
 
@@ -500,7 +500,8 @@ def union_countries(spark, d):
 
 @query("SELECT DISTINCT speech_id FROM detector_responses WHERE speech_id NOT IN (SELECT speech_id FROM speeches WHERE speech_id IS NOT NULL)")
 def set_difference(spark, d):
-    return table(spark, d, "detector_responses").select("speech_id").distinct().join(table(spark, d, "speeches").select("speech_id"), "speech_id", "left_anti")
+    wanted, there = table(spark, d, "detector_responses").select(F.col("speech_id").alias("path")).distinct(), table(spark, d, "speeches").select(F.col("speech_id").alias("path"))
+    return quality.wanted_files(wanted, there).withColumnRenamed("path", "speech_id")
 
 
 @query("SELECT DISTINCT speech_id FROM speeches WHERE speech_id IN (SELECT speech_id FROM detector_responses WHERE stage = 'complete')")
@@ -527,57 +528,7 @@ def star_revenue_month(spark, d):
     return rows.groupBy(F.col("r_name").alias("region"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sum(revenue).cast("double").alias("revenue"), F.count(F.lit(1)).alias("items"))
 
 
-# parsers: every speech is written as an official record of its own, read back, and held against the table ---------------
-_SQUEEZED = lambda x: rf"trim(regexp_replace({x}, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g'))"
-_SAFE = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-
-def _records(spark, d, country: str, form: str, *parts: str, known: dict | None = None) -> DataFrame:
-    """path, content, known of invented records. form: a format string for the named columns, made safe for markup."""
-    rows = table(spark, d, "speeches").where((F.col("country") == country) & F.col("speech_id").isNotNull() & F.col("speech_text").isNotNull())
-    rows = rows.groupBy("speech_id").agg(F.min_by(F.struct("speaker_name", "party", "speech_text"), F.struct("delivered_at")).alias("r")).select("speech_id", "r.*")
-    content = F.format_string(form, *[_SAFE(F.regexp_replace(p, '["\\n]', " ") if p != "speech_text" else F.col(p)) for p in parts])
-    facts = F.to_json(F.struct(F.lit("https://example.invalid/").alias("source_url"), *[F.lit(v).alias(k) for k, v in (known or {}).items()], F.col("speech_id").alias("memberID"), F.col("speaker_name").alias("name")))
-    return rows.select(F.col("speech_id").alias("path"), F.encode(content, "utf-8").alias("content"), facts.alias("known"))
-
-
-def _read_back(parsed: DataFrame, key: str) -> DataFrame:
-    return parsed.select(F.col(key).alias("speech_id"), "speaker_name", F.md5("speech_text").alias("text_md5"), F.col("word_count").alias("words"))
-
-
-def _read_back_sql(country: str) -> str:
-    return rf"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY speech_id ORDER BY delivered_at) AS rn FROM speeches
-          WHERE country = '{country}' AND speech_id IS NOT NULL AND speech_text IS NOT NULL),
-        s AS (SELECT speech_id, {_SQUEEZED("coalesce(speaker_name, '')")} AS speaker_name, {_SQUEEZED('speech_text')} AS t FROM f WHERE rn = 1)
-      SELECT speech_id, speaker_name, md5(t) AS text_md5, CAST(len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*')) AS INTEGER) AS words
-      FROM s WHERE speaker_name <> '' AND t <> ''"""
-
-
-@query(_read_back_sql("Germany"))
-def parse_german_xml(spark, d):
-    form = (
-        '<dbtplenarprotokoll wahlperiode="20" sitzung-nr="1" sitzung-datum="01.02.2022"><rede id="%s"><p klasse="redner"><redner id="1"><name><nachname>%s</nachname></name></redner>x:</p>'
-        "<p>%s</p><kommentar>(Beifall)</kommentar></rede></dbtplenarprotokoll>"
-    )
-    parsed, _ = parsers.parse_files(_records(spark, d, "Germany", form, "speech_id", "speaker_name", "speech_text"), "de_xml")
-    return _read_back(parsed, "source_identifier")
-
-
-@query(_read_back_sql("Netherlands"))
-def parse_dutch_xml(spark, d):
-    form = (
-        '<vlos xmlns="urn:v"><vergadering objectid="V"><datum>2022-02-01</datum><woordvoerder objectid="%s"><spreker objectid="s"><weergavenaam>%s</weergavenaam></spreker>'
-        "<tekst><alinea><alineaitem>%s</alineaitem></alinea></tekst></woordvoerder></vergadering></vlos>"
-    )
-    parsed, _ = parsers.parse_files(_records(spark, d, "Netherlands", form, "speech_id", "speaker_name", "speech_text"), "nl_xml")
-    return _read_back(parsed.withColumn("speech_id", F.substring_index("speech_id", ":", -1)), "speech_id")
-
-
-@query(_read_back_sql("Poland"))
-def parse_polish_html(spark, d):
-    known = {"term": 10, "proceeding": 1, "date": "2024-01-16", "num": 1, "function": ""}
-    parsed, _ = parsers.parse_files(_records(spark, d, "Poland", "<p class='punkt-tytul'>1</p><p>%s</p><p>(Oklaski)</p>", "speech_text", known=known), "pl_html")
-    return _read_back(parsed.withColumn("speaker_name", F.trim(F.regexp_replace("speaker_name", r"[\s\p{Z}]+", " "))), "speaker_id")
+_SAFE = catalogue_sources.SAFE
 
 
 @query(r"""SELECT DISTINCT speech_id, md5('' || speech_text || ' ' || coalesce(speaker_name, '')) AS text_md5 FROM speeches WHERE speech_id IS NOT NULL AND speech_text <> ''""")
@@ -613,5 +564,5 @@ def item_occurrences(spark, d):
     return review.occurrences(items, texts).distinct()
 
 
-QUERIES |= streams.QUERIES
-SQL |= streams.SQL
+QUERIES |= streams.QUERIES | catalogue_sources.QUERIES
+SQL |= streams.SQL | catalogue_sources.SQL

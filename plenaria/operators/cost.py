@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_FLOOR, Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenaria.functions.text import units
@@ -39,6 +39,12 @@ def affordable_units(budget: float, price: float) -> int:
     return int((Decimal(str(budget)) / (Decimal(str(price)) / 10)).to_integral_value(ROUND_FLOOR))
 
 
+def units_within(budget: Column, price: Column) -> Column:
+    """affordable_units of columns: exact decimals, rounded down; null for a price that isn't positive."""
+    exact = lambda c: c.cast("decimal(20,4)")
+    return F.when(price > 0, F.floor(exact(budget) * 10 / exact(price)).cast("bigint"))
+
+
 def within_cap(cost: float, controls: float, cap: float) -> bool:
     """Whether the speeches and the controls together stay within the cap, in exact decimals."""
     return Decimal(str(cost)) + Decimal(str(controls)) <= Decimal(str(cap))

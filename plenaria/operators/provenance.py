@@ -21,6 +21,11 @@ ADDRESSES = (
     (r"^poland/term-(\d+)/proceeding-(\d+)/(\d{4}-\d{2}-\d{2})/statement-(\d+)\.html$", "https://api.sejm.gov.pl/sejm/term%s/proceedings/%s/%s/transcripts/%s", (1, 2, 3, 4)),
     (r"^france/.*legislature-(\d+)-syceron\.zip$", "https://data.assemblee-nationale.fr/static/openData/repository/%s/vp/syceronbrut/syseron.xml.zip", (1,)),
 )
+# Names of German archives and their records.
+ARCHIVES = {
+    "CPP-BT_2026-09-19_DE_CSV_Reden_Gesamt.zip": "22844952", "CPP-BT_2026-01-17_DE_CSV_Reden_Gesamt.zip": "18177196", "CPP-BT_2026-09-19_DE_CSV_Plenarprotokolle_Metadaten.zip": "22844952",
+}
+ARCHIVE_FOLDER, ARCHIVE_ADDRESS = "germany/cpp-bt/", "https://zenodo.org/api/records/%s/files/%s/content"
 # Query keys that carry credentials.
 SENSITIVE = ("apikey", "api_key", "access_token", "token", "key", "authorization", "secret")
 ROMAN = {"12": "XII", "13": "XIII", "14": "XIV", "15": "XV"}
@@ -48,7 +53,9 @@ def source_address(relative: Column) -> Column:
     for pattern, form, groups in reversed(ADDRESSES):
         made = F.format_string(form, *[group(pattern, g) for g in groups])
         out = F.when(relative.rlike(pattern), made).otherwise(out)
-    return out
+    name = F.regexp_extract(relative, r"([^/]*)$", 1)
+    record = F.create_map(*[F.lit(x) for pair in ARCHIVES.items() for x in pair])[name]
+    return F.when(F.startswith(relative, F.lit(ARCHIVE_FOLDER)) & record.isNotNull(), F.format_string(ARCHIVE_ADDRESS, record, name)).otherwise(out)
 
 
 def without_credentials(url: Column) -> Column:

@@ -34,20 +34,44 @@ def audit(records: DataFrame, years: tuple[int, int] = (2018, 2026)) -> DataFram
     """One row: records, words, empty_speeches, implausible_lengths, wrong_counts, wrong_countries, wrong_dates, unsourced,
     outside_years, duplicate_speech_id_count, duplicate_text_count, valid.
 
-    Ids count as duplicates among sourced rows only, texts and words only where the stored count is right. The two distinct
-    counts are taken by pre-aggregation on the digest, never by holding ids in one place.
+    Ids count as duplicates among sourced rows only, texts and words only where the stored count is right. Texts are looked at
+    once: each row gives its figures under its id and under its text's digest, and both keys are pre-aggregated together.
     """
     rows = judged(records)
-    plain = rows.agg(
-        F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.when(F.col("consistent"), F.col("counted"))), F.lit(0)).alias("words"), F.count_if("blank").alias("empty_speeches"),
-        F.count_if(F.col("consistent") & (F.col("counted") > LONGEST)).alias("implausible_lengths"), F.count_if(~F.col("consistent")).alias("wrong_counts"),
-        F.count_if(~F.col("known")).alias("wrong_countries"), F.count_if(F.col("day").isNull()).alias("wrong_dates"), F.count_if(~F.col("sourced")).alias("unsourced"),
-        F.count_if(~F.year("day").between(*years)).alias("outside_years"),
-    )
-    surplus = lambda condition, key, name: rows.where(condition).groupBy(key).agg((F.count(F.lit(1)) - 1).alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias(name))
-    ids, texts = surplus("sourced", "speech_id", "duplicate_speech_id_count"), surplus("consistent", "digest", "duplicate_text_count")
+    figures = {
+        "records": F.lit(1), "words": F.when(F.col("consistent"), F.col("counted")), "empty_speeches": F.col("blank").cast("int"),
+        "implausible_lengths": (F.col("consistent") & (F.col("counted") > LONGEST)).cast("int"), "wrong_counts": (~F.col("consistent")).cast("int"),
+        "wrong_countries": (~F.col("known")).cast("int"), "wrong_dates": F.col("day").isNull().cast("int"), "unsourced": (~F.col("sourced")).cast("int"),
+        "outside_years": (~F.year("day").between(*years)).cast("int"),
+    }
+    surplus = {"id": "duplicate_speech_id_count", "text": "duplicate_text_count"}
+    zero = [F.lit(0).cast("bigint").alias(n) for n in figures]
+    own = [F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for n, c in figures.items()]
+    keyed = F.array(
+        F.struct(F.lit("id").alias("kind"), F.when(F.col("sourced"), F.xxhash64("speech_id")).alias("a"), F.when(F.col("sourced"), F.hash("speech_id")).alias("b"), *own),
+        F.struct(F.lit("text").alias("kind"), F.when(F.col("consistent"), F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint")).alias("a"), F.when(F.col("consistent"), F.conv(F.substring("digest", 16, 7), 16, 10).cast("int")).alias("b"), *zero),
+    )
+    # keys are known by 96 bits of their hash, so that the aggregation has fixed-width rows only
+    per_key = rows.select(F.inline(keyed)).groupBy("kind", "a", "b").agg(*[F.sum(n).alias(n) for n in figures], F.count(F.lit(1)).alias("_n"))
+    again = [F.coalesce(F.sum(F.when((F.col("kind") == k) & F.col("a").isNotNull(), F.col("_n") - 1)), F.lit(0)).alias(n) for k, n in surplus.items()]
+    out = per_key.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in figures], *again)
     bad = F.col("wrong_counts") + F.col("wrong_countries") + F.col("wrong_dates") + F.col("unsourced") + F.col("empty_speeches") + F.col("duplicate_speech_id_count")
-    return plain.join(F.broadcast(ids)).join(F.broadcast(texts)).withColumn("valid", bad == 0)
+    return out.withColumn("valid", bad == 0)
+
+
+def warnings(records: DataFrame, years: tuple[int, int] = (2018, 2026), most: int | None = None) -> DataFrame:
+    """speech_id, warning of rows whose day lies outside the years; the first `most` by id and day, if that is given."""
+    day = iso_date(F.col("date"))
+    rows = records.withColumn("_day", day).where(~F.year("_day").between(*years))
+    found = rows.select("speech_id", F.concat(F.lit("date outside configured study years: "), F.date_format("_day", "yyyy-MM-dd")).alias("warning"))
+    return found if most is None else found.orderBy("speech_id", "warning").limit(most)
+
+
+def status_counts(rows: DataFrame, by: list[str], status: str, states: tuple[str, ...]) -> DataFrame:
+    """Rows by group, a column for each state and `other` for all else."""
+    one = lambda test, name: F.count_if(F.coalesce(test, F.lit(False))).alias(name)
+    other = F.count(F.lit(1)) - F.count_if(F.coalesce(F.col(status).isin(*states), F.lit(False)))
+    return rows.groupBy(*by).agg(*[one(F.col(status) == s, s) for s in states], other.alias("other"))
 
 
 def defects(records: DataFrame) -> DataFrame:
@@ -164,33 +188,56 @@ def selected_reports(meetings: DataFrame) -> DataFrame:
     return meetings.withColumns({"report": final, "provisional": latest(lambda v: v["Soort"] == PROVISIONAL_KIND), "any_report": F.size("Verslag") > 0})
 
 
+def meeting_details(meetings: DataFrame) -> DataFrame:
+    """The meetings without a final report in order of date and id: Datum, Id, provisional (the id of its latest provisional
+    report, or null), any_report."""
+    picked = selected_reports(meetings).where("report IS NULL")
+    return picked.orderBy("Datum", "Id").select("Datum", "Id", "provisional", F.coalesce("any_report", F.lit(False)).alias("any_report"))
+
+
 def wanted_files(index: DataFrame, files: DataFrame) -> DataFrame:
     """Wanted statements without a file: index (path and other columns) minus files (path)."""
     return index.join(files.select("path").distinct(), "path", "left_anti")
 
 
-def statement_coverage(days: DataFrame, metadata: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+def statement_coverage(days: DataFrame, metadata: DataFrame, bodies: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Coverage of indexed sitting days by statement lists and bodies: a row per term, and the missing items with their reason.
 
-    days: term, proceeding, day (what the index says); metadata: term, proceeding, day, statements (array of num, unspoken;
-    null if the file isn't readable as a list); bodies: term, proceeding, day, num.
+    days: term, proceeding, day (what the index says); metadata: term, proceeding, day, document (the text of the list's file:
+    JSON with an array `statements` of objects with num and maybe unspoken); bodies: term, proceeding, day, num; terms: the
+    terms that an index is wanted of.
     """
     key = ["term", "proceeding", "day"]
-    seen = days.select(*key).distinct().join(metadata.select(*key, "statements", F.lit(True).alias("_there")), key, "left")
-    lists = seen.select(*key, F.explode("statements").alias("s")).where("NOT coalesce(s.unspoken, false)").select(*key, F.col("s.num").cast("bigint").alias("num"))
-    absent = lists.where("num IS NOT NULL").join(bodies.select(*key, F.col("num").cast("bigint").alias("num")).distinct(), [*key, "num"], "left_anti")
     nothing = F.lit(None).cast("bigint")
+    seen = days.select(*key).distinct().join(metadata.select(*key, "document", F.lit(True).alias("_there")), key, "left")
+    listed = F.get_json_object("document", "$.statements")
+    variant = F.try_parse_json("document")
+    kind = F.schema_of_variant(F.try_variant_get(variant, "$.statements", "variant"))
+    state = (
+        F.when(F.col("_there").isNull(), "statement metadata missing").when(variant.isNull() | listed.isNull() & kind.isNull(), "invalid statement metadata").when(~F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False)), "statement list is not an array")
+    )
+    judged = seen.select(*key, state.alias("reason"), listed.alias("listed"))
+    each = judged.where("reason IS NULL").select(*key, F.explode(F.from_json("listed", "array<string>")).alias("s"))
+    is_object = F.startswith(F.ltrim(F.coalesce("s", F.lit(""))), F.lit("{"))
+    items = each.select(*key, is_object.alias("is_object"), F.get_json_object("s", "$.num").alias("text"), F.coalesce(F.get_json_object("s", "$.unspoken") == "true", F.lit(False)).alias("unspoken"))
+    number = F.when(F.trim("text").rlike(r"^[+-]?\d+$"), F.trim("text").try_cast("bigint"))
+    spoken = items.where("is_object AND NOT unspoken").select(*key, number.alias("num"))
+    absent = spoken.where("num IS NOT NULL").join(bodies.select(*key, F.col("num").cast("bigint").alias("num")).distinct(), [*key, "num"], "left_anti")
     missing = (
-        seen.where("_there IS NULL").select(*key, nothing.alias("num"), F.lit("statement metadata missing").alias("reason"))
-        .unionByName(seen.where("_there AND statements IS NULL").select(*key, nothing.alias("num"), F.lit("invalid statement metadata").alias("reason")))
-        .unionByName(lists.where("num IS NULL").select(*key, "num", F.lit("invalid statement number").alias("reason")))
+        judged.where("reason IS NOT NULL").select(*key, nothing.alias("num"), "reason")
+        .unionByName(items.where("NOT is_object").select(*key, nothing.alias("num"), F.lit("statement metadata is not an object").alias("reason")))
+        .unionByName(spoken.where("num IS NULL").select(*key, "num", F.lit("invalid statement number").alias("reason")))
         .unionByName(absent.select(*key, "num", F.lit("spoken statement body missing").alias("reason")))
     )
-    terms = days.groupBy("term").agg(F.count_distinct("proceeding").alias("proceedings"), F.count_distinct("proceeding", "day").alias("target_dates"), F.min("day").alias("first_date"), F.max("day").alias("last_date"))
-    expected = lists.groupBy("term").agg(F.count(F.lit(1)).alias("expected_spoken_bodies"))
+    if terms is not None:
+        gone = terms.select("term").distinct().join(days.select("term"), "term", "left_anti")
+        missing = missing.unionByName(gone.select("term", nothing.alias("proceeding"), F.lit(None).cast(dict(days.dtypes)["day"]).alias("day"), nothing.alias("num"), F.lit("proceedings index missing").alias("reason")))
+    sums = days.groupBy("term").agg(F.count_distinct("proceeding").alias("proceedings"), F.count_distinct("proceeding", "day").alias("target_dates"), F.min("day").alias("first_date"), F.max("day").alias("last_date"))
+    expected = spoken.groupBy("term").agg(F.count(F.lit(1)).alias("expected_spoken_bodies"))
+    lists = metadata.groupBy("term").agg(F.count(F.lit(1)).alias("statement_metadata_files"))
     found = bodies.groupBy("term").agg(F.count(F.lit(1)).alias("statement_body_files"))
-    report = terms.join(expected, "term", "left").join(found, "term", "left").fillna(0, ["expected_spoken_bodies", "statement_body_files"])
-    return report, missing
+    report = sums.join(expected, "term", "left").join(lists, "term", "left").join(found, "term", "left")
+    return report.fillna(0, ["expected_spoken_bodies", "statement_metadata_files", "statement_body_files"]), missing
 
 
 def progress(days: DataFrame, cached: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from plenaria import schema
 from plenaria.functions.ranks import hash_prefix
 from plenaria.functions.text import known_id, length_band, units
 from plenaria.operators.cost import affordable_units
+from plenaria.runtime import cut
 
 SEED = 2026
 
@@ -22,6 +23,18 @@ def priority(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
 
 
+def positioned(sample: DataFrame, order: list[str]) -> DataFrame:
+    """A sample with position (from 1) in an order.
+
+    The rows are sorted by range partitioning; positions come from the partitions' sizes, so no task holds them all.
+    """
+    sorted_ = cut(sample.orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
+    sizes = sorted_.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_least"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_p", "_least", F.coalesce(before, F.lit(0)).alias("_before"))
+    return sorted_.join(F.broadcast(starts), "_p").withColumn("position", F.col("_before") + F.col("_i") - F.col("_least") + 1).drop("_p", "_i", "_least", "_before")
+
+
 def stratum(country: Column, day: Column) -> Column:
     return F.concat(country, F.lit(":"), F.date_format(day, "yyyy-MM"))
 

@@ -16,6 +16,19 @@ def fraction(value: Column, name: str) -> Column:
     return F.when((plain >= 0) & (plain <= 1), plain).otherwise(F.raise_error(F.lit(f"{name} must be between 0 and 1")))
 
 
+def response_problem(responses: DataFrame, allowed: tuple[str, ...] | None = None) -> Column:
+    """What is wrong with a complete response, null if nothing is or if it isn't complete: a fraction that is none or lies outside
+    of [0, 1], fractions that add up to more than 1, a version that isn't among the allowed ones."""
+    names = ("fraction_ai", "fraction_ai_assisted", "fraction_human")
+    wrong = F.when(F.lit(False), "")
+    for n in names:
+        wrong = wrong.when(F.col(n).isNull() | F.isnan(n) | ~F.col(n).between(0, 1), f"invalid {n}")
+    wrong = wrong.when(F.col(names[0]) + F.col(names[1]) + F.col(names[2]) > 1.00001, "fractions sum to more than 1")
+    if allowed is not None:
+        wrong = wrong.when(~F.coalesce(F.col("version").isin(*allowed), F.lit(False)), "version isn't entitled")
+    return F.when((F.col("stage") == "complete") & F.col("error").isNull(), wrong)
+
+
 def shares(ai: Column, mixed: Column, windows: Column) -> Column:
     """struct(ai, mixed) of a response.
 

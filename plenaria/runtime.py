@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +63,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file wherever it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A new place in the shared folder, deleted in the end."""
+    path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        delete(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -72,8 +91,7 @@ def release(*frames: DataFrame) -> None:
         plan = df._jdf.queryExecution().analyzed()
         file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
         if file is not None and file.isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            delete(df.sparkSession, file.get())
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:

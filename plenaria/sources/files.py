@@ -9,12 +9,13 @@ import zipfile
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plenaria import schema
 from plenaria.functions.countries import COUNTRIES
 from plenaria.functions.text import word_count
+from plenaria.runtime import cut
 
 CORRUPT = "_corrupt_record"
 
@@ -37,7 +38,7 @@ def with_defaults(speeches: DataFrame) -> DataFrame:
     return filled.withColumns({c: F.when(F.col(c) == "", F.col(d)).otherwise(F.col(c)) for c, d in own.items()})
 
 
-def valid_speech() -> F.Column:
+def valid_speech() -> Column:
     """What a speech must be: all required fields, an ISO date, and a word count that is 0 or right."""
     from plenaria.functions.text import iso_date
 
@@ -47,16 +48,18 @@ def valid_speech() -> F.Column:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """position (from 1, blank lines not counted) and value of the lines of a text file: dense by the sizes of the partitions."""
-    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = {r._p: r.n for r in lines.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, starts = 0, []
-    for p in sorted(sizes):
-        starts.append((p, before))
-        before += sizes[p]
-    offsets = F.broadcast(spark.createDataFrame(starts, "_p int, _before long"))
-    # monotonically_increasing_id counts inside of a partition in its low bits
-    return lines.join(offsets, "_p").select((F.col("_before") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1).alias("position"), "value")
+    """position (from 1, blank lines not counted) and value of the lines of a file, or of a folder's files in order of their names.
+
+    The lines are written down with the file and offset of their split, so that counting and numbering see the same splits;
+    positions are dense by the sizes of the splits before.
+    """
+    place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s")]
+    lines = cut(spark.read.text(path).select("value", *place).where("trim(value) <> ''").withColumn("_i", F.monotonically_increasing_id()))
+    sizes = lines.groupBy("_f", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_least"))
+    # one row a split, whatever the lines
+    before = F.sum("_n").over(Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_f", "_s", "_least", F.coalesce(before, F.lit(0)).alias("_before"))
+    return lines.join(starts, ["_f", "_s"]).select((F.col("_before") + F.col("_i") - F.col("_least") + 1).alias("position"), "value")
 
 
 def raw_files(spark: SparkSession, path: str, pattern: str = "*", with_content: bool = True) -> DataFrame:
@@ -181,6 +184,22 @@ def load_settings(text: str) -> dict[str, str]:
     return out
 
 
+def json_string(text: Column) -> Column:
+    """A string as JSON has it: quotes, backslashes and control characters escaped, all else as it is."""
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    escaped = plain
+    for c in range(32):
+        escaped = F.replace(escaped, F.lit(chr(c)), F.lit(short.get(c, f"\\u{c:04x}")))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), escaped).otherwise(plain), F.lit('"'))
+
+
+def fingerprints(configuration: dict, text: Column) -> Column:
+    """request_fingerprint of a column of texts; null for null."""
+    head = json.dumps(configuration, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return F.sha2(F.concat(F.lit(f'{{"configuration":{head},"text":'), json_string(text), F.lit("}")), 256)
+
+
 def request_fingerprint(configuration: dict, text: str) -> str:
     """SHA-256 of the compact sorted JSON of a request."""
     import hashlib

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenaria.runtime import shared_dir
+from plenaria.runtime import cut, scratch
 
+#: So late an event may be and still count; the table is read in one go, so its events come within this time.
 DELAY = "3650 days"
 
 
@@ -19,18 +18,17 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and read what it wrote: the rows of all batches with `batch`, in the shared folder."""
+    """Run a stream over what is there and read what it wrote: the rows of all batches with `batch`."""
     spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    shape = stream.schema
+    with scratch(spark) as folder:
 
-    def write(rows: DataFrame, batch: int) -> None:
-        # one folder per batch: a batch that is run again replaces its own rows
-        rows.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/out/{batch}")
+        def write(rows: DataFrame, batch: int) -> None:
+            # one folder per batch: a batch that is run again replaces its own rows
+            rows.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/out/{batch}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(shape.add("batch", "long")).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return cut(spark.read.schema(stream.schema.add("batch", "long")).option("recursiveFileLookup", "true").parquet(f"{folder}/out"))
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,9 +45,14 @@ def stream_daily_events(spark, d):
     return latest(run(flat, "update"), ["day", "event_type"])
 
 
+def distinct_within(stream: DataFrame, keys: list[str], time: str = "ts", delay: str = DELAY) -> DataFrame:
+    """The first row of each key; a key's state ends when the watermark has passed it by the delay."""
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def stream_distinct_events(spark, d):
     """Every pair of user and type once, however often it comes."""
-    rows = event_stream(spark, d).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
+    rows = distinct_within(event_stream(spark, d).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), ["user_id", "event_type"])
     return run(rows, "append").select("user_id", "event_type")
 
 

@@ -72,16 +72,18 @@ def test_sources_of(spark):
 
 
 def test_statement_coverage(spark):
-    days = spark.createDataFrame([(10, 1, "2024-01-16"), (10, 1, "2024-01-17"), (10, 2, "2024-02-01")], "term int, proceeding int, day string")
-    metadata = spark.createDataFrame([(10, 1, "2024-01-16", [("1", False), ("2", True), ("x", None), ("3", None)]), (10, 2, "2024-02-01", None)], "term int, proceeding int, day string, statements array<struct<num:string,unspoken:boolean>>")
-    metadata = metadata.withColumn("statements", quality.F.expr("transform(statements, s -> named_struct('num', try_cast(s.num AS bigint), 'unspoken', s.unspoken))"))
+    days = spark.createDataFrame([(10, 1, f"2024-01-{d}") for d in range(16, 20)] + [(10, 2, "2024-02-01")], "term int, proceeding int, day string")
+    documents = {"2024-01-16": '{"statements": [{"num": 1}, {"num": 2, "unspoken": true}, {"num": "x"}, {"num": "3"}, 7, {}]}', "2024-01-17": '{"statements": {"a": 1}}', "2024-01-18": "no json", "2024-01-19": '{"other": []}'}
+    metadata = spark.createDataFrame([(10, 1, d, t) for d, t in documents.items()], "term int, proceeding int, day string, document string")
     bodies = spark.createDataFrame([(10, 1, "2024-01-16", 1)], "term int, proceeding int, day string, num int")
-    report, missing = quality.statement_coverage(days, metadata, bodies)
+    report, missing = quality.statement_coverage(days, metadata, bodies, spark.createDataFrame([(9,), (10,)], "term int"))
     (r,) = report.collect()
-    assert (r.proceedings, r.target_dates, r.expected_spoken_bodies, r.statement_body_files) == (2, 3, 3, 1)
-    assert sorted((m.day, m.num, m.reason) for m in missing.collect() if m.num) == [("2024-01-16", 3, "spoken statement body missing")]
-    assert sorted(m.reason for m in missing.collect()) == ["invalid statement metadata", "invalid statement number", "spoken statement body missing", "statement metadata missing"]
-    assert [tuple(x) for x in quality.progress(days, bodies).collect()] == [(10, 1, 3)]
+    assert (r.proceedings, r.target_dates, r.expected_spoken_bodies, r.statement_body_files, r.statement_metadata_files) == (2, 5, 4, 1, 4)
+    assert sorted(((m.day or "")[8:], m.num or 0, m.reason) for m in missing.collect()) == [
+        ("", 0, "proceedings index missing"), ("01", 0, "statement metadata missing"), ("16", 0, "invalid statement number"), ("16", 0, "invalid statement number"), ("16", 0, "statement metadata is not an object"),
+        ("16", 3, "spoken statement body missing"), ("17", 0, "statement list is not an array"), ("18", 0, "invalid statement metadata"), ("19", 0, "invalid statement metadata"),
+    ]
+    assert [tuple(x) for x in quality.progress(days, bodies).collect()] == [(10, 1, 5)]
 
 
 def test_one_address(spark):

@@ -73,6 +73,30 @@ def test_a_request_is_sent_once(spark, tmp_path):
     assert {r.fingerprint: r.response for r in states.latest().collect()}["bad"] == "ok" and states.latest().where("status = 'complete'").count() == 4
 
 
+def test_two_writers_and_tried_tasks_send_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+    one, two = ResponseStates(spark, str(tmp_path / "states")), ResponseStates(spark, str(tmp_path / "states"))
+
+    def send(key, text):
+        with open(calls, "a") as f:
+            f.write(key + "\n")
+        if key == "b":  # the other writer comes in while this one sends
+            raise OSError("broken: pipe")
+        return {"response": text}
+
+    # a claim of another writer, whose send is under way, is left alone
+    two.claims.take("c")
+    one.submit(requests(spark, "a", "b", "c"), send)
+    two.submit(requests(spark, "a", "b", "c", "d"), send)
+    assert sorted(open(calls).read().split()) == ["a", "b", "d"]
+    assert [tuple(r)[1:] for r in one.errors().collect()] == [("b", "OSError", "broken: pipe")]
+    assert {r.fingerprint: r.status for r in two.latest().collect()} == {"a": "complete", "b": "submission_unknown", "c": "submission_unknown", "d": "complete"}
+    one.reset(["b"])
+    with pytest.raises(RuntimeError, match="b: OSError"):
+        one.submit(requests(spark, "b"), send, strict=True)
+    assert one.poll(lambda key, task: {}, rounds=3, sleep=lambda s: None) == 0
+
+
 @pytest.mark.parametrize("name", ["stream_distinct_events", "stream_daily_events"])
 def test_queries_run_again(spark, name):
     from plenaria.streaming import queries
