@@ -53,7 +53,10 @@ class ResponseStates:
 
     def __init__(self, spark: SparkSession, path: str, claims: FileClaims | None = None) -> None:
         self.spark, self.path = spark, path
-        self.claims = claims or FileClaims(f"{path.removeprefix('file://').rstrip('/')}-claims")
+        scheme, colon, place = path.rpartition(":")
+        if claims is None and scheme not in ("", "file"):
+            raise ValueError(f"claims are needed for storage of {scheme}")
+        self.claims = claims or FileClaims(f"/{place.strip('/')}-claims" if colon or place.startswith("/") else f"{place.rstrip('/')}-claims")
 
     def history(self) -> DataFrame:
         try:
