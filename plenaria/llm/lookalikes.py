@@ -23,27 +23,40 @@ from plenaria.llm.codepoints import pieces, to_points, to_strings
 from plenaria.runtime import cut, table
 
 # Letters of other scripts and the Latin letters that they look like.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝ"
-CYRILLIC_AS = "ABESIJKMHOPCTYXaesijopcyxdhqw"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ"
-GREEK_AS = "ABEZHIKMNOPTYXovcj"
+CYRILLIC = "АВЕЅІЈКМНОРСТУХҮӀԌԚԜаеѕіјорсухүӏԁһԛԝ"
+CYRILLIC_AS = "ABESIJKMHOPCTYXYIGQWaesijopcyxyldhqw"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳϹͿ"
+GREEK_AS = "ABEZHIKMNOPTYXovpcjCJ"
+ARMENIAN, ARMENIAN_AS = "ՍՏՕՀհոսցօ", "USOZhnugo"
+CHEROKEE, CHEROKEE_AS = "ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEHJKLMPRSTVWZ"
 # Characters without a look of their own.
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
 # Blanks that look like a space, and hyphens that look like the common one.
 BLANKS = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 HYPHENS = [0x2010, 0x2011]
 # Digraph letters that look like their two letters.
-DIGRAPHS = {0x0132: "IJ", 0x0133: "ij", 0x01C7: "LJ", 0x01C8: "Lj", 0x01C9: "lj", 0x01CA: "NJ", 0x01CB: "Nj", 0x01CC: "nj"}
+DIGRAPHS = {0x01C4: "DŽ", 0x01C5: "Dž", 0x01C6: "dž", 0x0132: "IJ", 0x0133: "ij", 0x01C7: "LJ", 0x01C8: "Lj", 0x01C9: "lj", 0x01CA: "NJ", 0x01CB: "Nj", 0x01CC: "nj"}
+# Signs in full width.
+WIDE_SIGNS = dict(zip("￠￡￢￤￥￦", "¢£¬¦¥₩", strict=True))
+# Letters that are plain ones in another block: Roman numerals, and mathematical ones without serifs or of one width.
+PLAIN = [*range(0x2160, 0x2180), *range(0x1D5A0, 0x1D5D4), *range(0x1D670, 0x1D6A4), *range(0x1D7E2, 0x1D7EC), *range(0x1D7F6, 0x1D800)]
 SPACE = 0x0110000
 
 
+def singles() -> dict[int, str]:
+    """What each character that stands for others stands for."""
+    pairs = [*zip(CYRILLIC, CYRILLIC_AS, strict=True), *zip(GREEK, GREEK_AS, strict=True), *zip(ARMENIAN, ARMENIAN_AS, strict=True), *zip(CHEROKEE, CHEROKEE_AS, strict=True), *WIDE_SIGNS.items()]
+    out = {ord(a): b for a, b in pairs}
+    out |= DIGRAPHS | dict.fromkeys(INVISIBLE, "") | dict.fromkeys(BLANKS, " ") | dict.fromkeys(HYPHENS, "-")
+    out |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    whole = {c: unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFB00, 0xFB07), *PLAIN]}
+    return out | {c: x for c, x in whole.items() if x.isascii()}
+
+
 @functools.cache
 def tables() -> dict[str, np.ndarray]:
     """Lookup tables over all code points: expansion place and length, combining class, and the sorted composition pairs."""
-    single = {ord(a): b for a, b in [*zip(CYRILLIC, CYRILLIC_AS, strict=True), *zip(GREEK, GREEK_AS, strict=True)]}
-    single |= DIGRAPHS | dict.fromkeys(INVISIBLE, "") | dict.fromkeys(BLANKS, " ") | dict.fromkeys(HYPHENS, "-")
-    single |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-    single |= {c: unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB07)}
+    single = singles()
     start, length, data = np.arange(SPACE, dtype=np.int32), np.ones(SPACE, np.uint8), []
     classes, pairs = np.zeros(SPACE, np.uint8), {}
     for c in range(0xA0, SPACE):
@@ -207,16 +220,22 @@ def p4_forms(spark, sf_dir):
     )
 
 
+def p4_classes(spark, sf_dir):
+    """Each speech with its look, and how many speeches and different character strings have that look."""
+    classes = cut(look_classes(table(spark, sf_dir, "speeches")))
+    kinds = classes.groupBy("look", "chars").agg(F.count(F.lit(1)).alias("_n")).groupBy("look").agg(F.sum("_n").alias("speeches"), F.count(F.lit(1)).alias("kinds"))
+    return classes.join(kinds, "look").select("speech_id", F.lower(F.hex("look")).alias("look"), "speeches", "kinds")
+
+
 def _sql() -> dict[str, str]:
-    marks = "".join(map(chr, [*BLANKS, *HYPHENS, *range(0xFF01, 0xFF5F)])) + CYRILLIC + GREEK
-    plain = " " * len(BLANKS) + "-" * len(HYPHENS) + "".join(map(chr, range(0x21, 0x7F))) + CYRILLIC_AS + GREEK_AS
-    pairs = dict(zip(marks, plain, strict=True))
+    found = singles()
+    one = {chr(c): x for c, x in found.items() if len(x) == 1}
     quoted = lambda x: x.replace("'", "''")
-    form = f"translate(nfc_normalize(speech_text), '{quoted(''.join(pairs))}', '{quoted(''.join(pairs.values()))}')"
+    form = f"translate(nfc_normalize(speech_text), '{quoted(''.join(one))}', '{quoted(''.join(one.values()))}')"
     form = f"regexp_replace({form}, '[{''.join(map(chr, INVISIBLE))}]', '', 'g')"
-    ligatures = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xFB00, 0xFB07)] + [(chr(c), x) for c, x in DIGRAPHS.items()]
-    for a, b in ligatures:
-        form = f"replace({form}, '{a}', '{b}')"
+    for c, x in found.items():
+        if len(x) > 1:
+            form = f"replace({form}, '{chr(c)}', '{x}')"
     form = f"nfc_normalize({form})"
     forms = f"""
       WITH formed AS (SELECT speech_id, delivered_at, speech_text, {form} AS form FROM speeches WHERE speech_id IS NOT NULL)"""
@@ -225,7 +244,11 @@ def _sql() -> dict[str, str]:
       SELECT a.speech_id AS speech_id_a, b.speech_id AS speech_id_b FROM first a JOIN first b
         ON a.f.form = b.f.form AND a.f.text <> b.f.text AND a.speech_id < b.speech_id"""
     rows = f"{forms} SELECT speech_id, delivered_at, md5(form) AS form_md5, CAST(length(form) AS BIGINT) AS form_chars FROM formed"
-    return {"p4_found": found, "p4_forms": rows}
+    looks = f"""{forms},
+      first AS (SELECT speech_id, min({{'at': coalesce(delivered_at, TIMESTAMP '9999-12-31'), 'form': form, 'text': speech_text}}) AS f FROM formed GROUP BY speech_id)
+      SELECT speech_id, md5(f.form) AS look, count(*) OVER (PARTITION BY f.form) AS speeches, k.kinds AS kinds FROM first
+      JOIN (SELECT f.form AS form, count(DISTINCT f.text) AS kinds FROM first GROUP BY f.form) k ON k.form = f.form"""
+    return {"p4_found": found, "p4_forms": rows, "p4_classes": looks}
 
 
 SQL = _sql()

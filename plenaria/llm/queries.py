@@ -14,6 +14,7 @@ QUERIES = {
     "p3_matches": reference_match.p3_matches,
     "p4_found": lookalikes.p4_found,
     "p4_forms": lookalikes.p4_forms,
+    "p4_classes": lookalikes.p4_classes,
     "p5_found": near_duplicates.p5_found,
     "p5_groups": near_duplicates.p5_groups,
     "p6_sample": stable_sample.p6_sample,
