@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenaria import catalogue_sources, schema
+from plenaria import catalogue_sources, catalogue_transport, schema
 from plenaria.functions import text as T
 from plenaria.functions.countries import CODES, COUNTRIES, country_name
 from plenaria.operators import aggregate, controls, corpus, cost, provenance, quality, review, sampling, scoring
@@ -564,5 +564,5 @@ def item_occurrences(spark, d):
     return review.occurrences(items, texts).distinct()
 
 
-QUERIES |= streams.QUERIES | catalogue_sources.QUERIES
-SQL |= streams.SQL | catalogue_sources.SQL
+QUERIES |= streams.QUERIES | catalogue_sources.QUERIES | catalogue_transport.QUERIES
+SQL |= streams.SQL | catalogue_sources.SQL | catalogue_transport.SQL

@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: opener(url, first, last) -> status, headers (lower case), body; without a range if first is None.
@@ -30,6 +30,13 @@ def content_range(value: str | None) -> tuple[int, int, int] | None:
     return tuple(map(int, found.groups())) if found else None
 
 
+def range_parts(header: Column) -> Column:
+    """content_range of a column: struct(first, last, total), null for other values."""
+    pattern = r"(?i)^bytes\s+(\d+)-(\d+)/(\d+)$"
+    part = lambda k: F.regexp_extract(header, pattern, k).cast("bigint")
+    return F.when(header.rlike(pattern), F.struct(part(1).alias("first"), part(2).alias("last"), part(3).alias("total")))
+
+
 def _patient(what: Callable, sleep: Callable[[float], None], attempts: int):
     for attempt in range(attempts):
         try:
@@ -112,18 +119,22 @@ def note(manifest: str | Path, entry: dict) -> None:
         file.write(json.dumps(entry, ensure_ascii=False, sort_keys=True) + "\n")
 
 
-def fetch_missing(wanted: DataFrame, present: DataFrame, get: Callable[[str, str], dict], parallel: int = 8) -> DataFrame:
+def fetch_missing(wanted: DataFrame, present: DataFrame, get: Callable[[str, str], dict] | None = None, parallel: int = 8, connect: Callable[[], Callable[[str, str], dict]] | None = None) -> DataFrame:
     """path, ok, detail of the wanted files (path, url) that aren't present (path). get(url, path) fetches one and returns its entry.
 
-    Only the difference is fetched, by at most `parallel` tasks at once; a failure is a row, not the end of the others.
+    connect() makes such a getter once for each worker's task, which keeps its connections for all of its files. Only the
+    difference is fetched, by at most `parallel` tasks at once; a failure is a row, not the end of the others.
     """
+    if (get is None) == (connect is None):
+        raise ValueError("give either get or connect")
 
     def run(batches):
+        fetch = get if connect is None else connect()
         for pdf in batches:
             out = []
             for url, path in zip(pdf["url"], pdf["path"], strict=True):
                 try:
-                    out.append((path, True, get(url, path).get("sha256")))
+                    out.append((path, True, fetch(url, path).get("sha256")))
                 except OSError as problem:
                     out.append((path, False, str(problem)))
             yield pd.DataFrame(out, columns=["path", "ok", "detail"])
