@@ -5,9 +5,7 @@ The corpus is read once into a compact scored table in the shared folder; sizes,
 
 from __future__ import annotations
 
-import argparse
 import math
-import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plenaria.functions.countries import COUNTRIES
 from plenaria.functions.text import iso_date
-from plenaria.operators import aggregate, controls, corpus, cost, quality, sampling, scoring
+from plenaria.operators import aggregate, corpus, cost, quality, sampling, scoring
 from plenaria.plans import outputs
 from plenaria.runtime import cut
 from plenaria.sources import files
@@ -181,38 +179,3 @@ def run_trial(spark: SparkSession, results: str, corpus_path: str, count: int, p
     done = [s | {"response": send(texts[s["speech_id"]])} for s in selection]
     outputs.put_json(path.with_name("test_result.json"), {"completed_speeches": done, "note": "A score of a short speech proves nothing about its author."})
     return {"speeches": done, "estimated_cost": total}
-
-
-def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="plenaria", description="Check, cost, sample and measure a corpus of speeches.")
-    parser.add_argument("command", choices=("dry-run", "estimate", "qa", "brief"))
-    parser.add_argument("--corpus")
-    parser.add_argument("--results", default="results")
-    parser.add_argument("--price", type=float, default=0.5)
-    parser.add_argument("--sample-budget", type=float)
-    parser.add_argument("--max-cost", type=float)
-    parser.add_argument("--seed", type=int, default=2026)
-    parser.add_argument("--country", choices=COUNTRIES)
-    parser.add_argument("--period", choices=("historical", "post"))
-    args = parser.parse_args(argv)
-    if args.command == "brief":
-        print(controls.brief(args.country or COUNTRIES[0]))
-        return 0
-    if args.command in ("estimate", "qa") and not args.corpus:
-        parser.error("--corpus is needed")
-    spark = SparkSession.builder.appName("plenaria").getOrCreate()
-    if args.command == "dry-run":
-        print(run_study(spark, args.results, args.corpus, price=args.price, sample_budget=args.sample_budget, max_cost=args.max_cost, seed=args.seed))
-        return 0
-    records = read_corpus(spark, args.corpus, dry_run=False)
-    if args.command == "qa":
-        report = quality.audit(records).first().asDict()
-        print(report)
-        return int(not report["valid"])
-    rows = records.select("country", iso_date(F.col("date")).alias("day"), F.col("word_count").alias("words"))
-    cost.estimate_cost(corpus.filtered(rows, args.country, period=args.period), args.price).orderBy("country").show(50, False)
-    return 0
-
-
-if __name__ == "__main__":
-    sys.exit(main())

@@ -114,6 +114,14 @@ def combined(built: dict[str, Built]) -> tuple[DataFrame, dict]:
     return speeches, quality.readiness(missing, gaps)
 
 
+def promote(spark: SparkSession, partial: str, final: str) -> None:
+    """Give a whole output its name; one that is there already is an error."""
+    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    system = path(partial).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if system.exists(path(final)) or not system.rename(path(partial), path(final)):
+        raise OSError(f"{final} is there already or can't be made")
+
+
 def resume(spark: SparkSession, partial: str, regenerated: DataFrame, final: str) -> int:
     """Finish an output that broke off: its rows (parquet at `partial`, with position) must be the first of the regenerated ones; the
     rest is appended, and the whole is moved to `final`. Returns how many rows were appended.
@@ -127,8 +135,5 @@ def resume(spark: SparkSession, partial: str, regenerated: DataFrame, final: str
     rest = regenerated.select(saved.columns).where(F.col("position") > last)
     n = rest.count()
     rest.write.mode("append").parquet(partial)
-    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
-    system = path(partial).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if system.exists(path(final)) or not system.rename(path(partial), path(final)):
-        raise OSError(f"{final} is there already or can't be made")
+    promote(spark, partial, final)
     return n

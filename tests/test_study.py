@@ -3,8 +3,8 @@ import json
 
 import pytest
 
-from plenaria.plans import outputs, study
-from plenaria.sources import files
+from plenaria.plans import commands, outputs, study
+from plenaria.sources import builders, files
 
 
 def rows(path):
@@ -93,11 +93,90 @@ def test_small_outputs(tmp_path):
 
 def test_commands(spark, tmp_path, capsys):
     path = corpus_file(spark, str(tmp_path / "a.jsonl"))
-    assert study.main(["brief", "--country", "Spain"]) == 0 and "Congreso" in capsys.readouterr().out
-    assert study.main(["qa", "--corpus", path]) == 0 and "'records': 36" in capsys.readouterr().out
-    assert study.main(["estimate", "--corpus", path, "--period", "post"]) == 0 and "TOTAL" in capsys.readouterr().out
+    said = lambda *argv, code=0: (commands.main([str(a) for a in argv]) == code, json.loads(capsys.readouterr().out))
+    assert said("brief", "--country", "Spain")[1]["parliament"] == "Congreso de los Diputados"
+    ok, report = said("qa", "--corpus", path, "--end-year", 2020)
+    assert ok and report["records"] == 36 and len(report["warnings"]) == 18 and report["errors"] == []
+    assert said("estimate", "--corpus", path, "--period", "post")[1][-1]["country"] == "TOTAL"
+    ok, drawn = said("sample", "--corpus", path, "--size", 1, "--output", tmp_path / "s.jsonl")
+    assert ok and drawn["records"] == 6 and [r.country for r in spark.read.json(str(tmp_path / "s.jsonl")).collect()] == sorted(files.COUNTRIES)
+    ok, found = said("review", "--corpus", path, "--country", "Italy", "--count", 4, "--packet", tmp_path / "p.md", "--report", tmp_path / "r.json", "--output", tmp_path / "r.jsonl")
+    assert ok and found["status_counts"]["verified"] == 4 and (tmp_path / "p.md").read_text().count("**verified**") == 4 and len(json.loads((tmp_path / "r.json").read_text())["results"]) == 4
+    assert said("run", "--dry-run", "--results", tmp_path / "x")[1]["mocked"]
+    spark.read.json(path).select("speech_id", commands.F.lit(0.1).alias("ai"), commands.F.lit(0.0).alias("mixed")).write.parquet(str(tmp_path / "resp"))
+    with pytest.raises(study.Refused, match="complete"):  # the invented corpus hasn't all years
+        commands.main(["run", "--confirm", "--corpus", path, "--responses", str(tmp_path / "resp"), "--results", str(tmp_path / "y")])
+
+
+@pytest.mark.parametrize(
+    "argv",
+    [
+        "qa", "run --corpus x", "run --confirm --corpus x", "run --dry-run --confirm", "run --dry-run --responses x", "run --trial 1 --dry-run", "run --trial 1 --confirm --sample-budget 2", "run --dry-run --country Italy",
+        "review --corpus x --country Italy", "controls --brief Italy --validate x", "controls", "build --raw x --output y --resume-partial", "estimate --corpus x --period never", "nothing",
+    ],
+)
+def test_options_that_exclude_each_other(argv, capsys):
     with pytest.raises(SystemExit):
-        study.main(["qa"])
+        commands.main(argv.split())
+    assert "error" in capsys.readouterr().err
+
+
+def test_build_and_resume(spark, tmp_path, capsys):
+    place = tmp_path / "raw" / "poland"
+    day = place / "bodies" / "term-10" / "proceeding-3" / "2024-01-16"
+    day.mkdir(parents=True)
+    rows = [{"term": "10", "proceeding": 3, "date": "2024-01-16", "num": n, "name": f"Poseł {n}", "memberID": str(n), "function": "", "unspoken": n == 3, "source_url": "u"} for n in (4, 1, 2, 3)]
+    (place / "statements.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    for n in (1, 2, 3):
+        (day / f"statement-{n}.html").write_text(f"<p>Słowo {n}.</p>")
+    out = str(tmp_path / "poland.parquet")
+    assert commands.main(["build", "--country", "Poland", "--raw", str(tmp_path / "raw"), "--output", out]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["counts"][0]["records"] == 2 and report["gaps"] == 1
+    whole = spark.read.parquet(out)
+    assert [(r.position, r.speech_text) for r in whole.orderBy("position").collect()] == [(1, "Słowo 1."), (2, "Słowo 2.")]
+    whole.where("position = 1").write.parquet(str(tmp_path / "part.tmp"))
+    assert builders.resume(spark, str(tmp_path / "part.tmp"), whole, str(tmp_path / "part")) == 1 and spark.read.parquet(str(tmp_path / "part")).count() == 2
+    whole.where("position = 1").withColumn("speech_text", commands.F.lit("x")).write.parquet(str(tmp_path / "other.tmp"))
+    with pytest.raises(ValueError, match="position 1"):
+        builders.resume(spark, str(tmp_path / "other.tmp"), whole, str(tmp_path / "other"))
+
+
+def test_builders(spark):
+    empty = spark.createDataFrame([], "path string, content binary, known string")
+    xml = """<vlos xmlns="urn:v"><vergadering objectid="V"><datum>2022-02-01</datum><woordvoerder objectid="w"><spreker><weergavenaam>Jan</weergavenaam></spreker><tekst><alinea><alineaitem>Ja.</alineaitem></alinea></tekst></woordvoerder></vergadering></vlos>"""
+    dutch = spark.createDataFrame([(f"a/{n}.xml", xml.encode(), '{"source_url": "u"}') for n in ("R1", "R9")], "path string, content binary, known string")
+    reports = [("m1", "2022-02-01", [("R1", "Eindpublicatie", "Gecorrigeerd", "2", False), ("R0", "Eindpublicatie", "Gecorrigeerd", "1", False)]), ("m2", "2022-02-02", [("R2", "Eindpublicatie", "Gecorrigeerd", "2", False)]), ("m3", "2022-02-03", [("R9", "Tussenpublicatie", "x", "2", False)])]
+    meetings = spark.createDataFrame(reports, "Id string, Datum string, Verslag array<struct<Id:string,Soort:string,Status:string,GewijzigdOp:string,Verwijderd:boolean>>")
+    built = {"Netherlands": builders.netherlands({"meetings": meetings, "xml": dutch})}
+    assert [r.speech_text for r in built["Netherlands"].speeches.collect()] == ["Ja."] and [tuple(r) for r in built["Netherlands"].gaps.collect()] == [("R2", "report file missing")]
+    sitting = '<dbtplenarprotokoll wahlperiode="20" sitzung-nr="5" sitzung-datum="%s"><rede id="I"><p klasse="redner"><redner id="1"><name><nachname>M</nachname></name></redner>x:</p><p>Ja.</p></rede></dbtplenarprotokoll>'
+    german = spark.createDataFrame([(str(k), (sitting % day).encode(), '{"source_url": "u"}') for k, day in enumerate(("01.02.2020", "01.10.2026"))], "path string, content binary, known string")
+    built["Germany"] = builders.germany({"archives": empty, "xml": german})
+    assert [r.date for r in built["Germany"].speeches.collect()] == ["2026-10-01"]
+    built["Spain"] = builders.spain({"html": empty, "lines": empty})
+    built["Italy"] = builders.italy({"xml": empty, "html": empty})
+    speeches, state = builders.combined(built)
+    assert speeches.count() == 2 and not state["ready"] and "1 unresolved gaps of Netherlands" in state["blockers"]
+    assert [tuple(r)[:4] for r in built["Germany"].counts().collect()] == [("Germany", 1, 1, 1)]
+
+
+def test_controls_and_provenance(spark, tmp_path, capsys):
+    passages = [{"country": "Italy", "text_language": "it", "generator": "m", "prompt_id": "1", "text": "Parole sagge."}]
+    (tmp_path / "c.jsonl").write_text(json.dumps(passages[0]))
+    assert commands.main(["controls", "--import-from", str(tmp_path / "c.jsonl"), "--output", str(tmp_path / "out.jsonl")]) == 0
+    assert json.loads(capsys.readouterr().out)["records"] == 1 and spark.read.json(str(tmp_path / "out.jsonl")).first().speech_id == "positive-control-it-1"
+    (tmp_path / "bad.jsonl").write_text(json.dumps(passages[0] | {"text_language": "fr"}))
+    with pytest.raises(study.Refused, match="language"):
+        commands.main(["controls", "--validate", str(tmp_path / "bad.jsonl")])
+    raw = tmp_path / "raw" / "italy" / "leg19"
+    raw.mkdir(parents=True)
+    (raw / "sitting-12.xml").write_text("<x/>")
+    (tmp_path / "m.jsonl").write_text(json.dumps({"local_path": "gone.xml", "sha256": "x", "source_url": "u"}) + "\n")
+    assert commands.main(["provenance", "--raw", str(tmp_path / "raw"), "--manifest", str(tmp_path / "m.jsonl"), "--output", str(tmp_path / "n.jsonl")]) == 0
+    assert json.loads(capsys.readouterr().out) == {"new": 1, "gone": 1}
+    rows = {r.local_path: r for r in spark.read.json(str(tmp_path / "n.jsonl")).collect()}
+    assert "idNumero=0012" in rows["italy/leg19/sitting-12.xml"].source_url and rows["gone.xml"].sha256 == "x"
 
 
 def test_corpus_files_and_fingerprint(spark, tmp_path):
