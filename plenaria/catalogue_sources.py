@@ -562,7 +562,7 @@ def control_countries(spark, d):
 def response_problems(spark, d):
     rows = table(spark, d, "detector_responses")
     newest = rows.agg(F.max("version")).first()[0]
-    return rows.groupBy("speech_id", scoring.response_problem(rows, (newest,)).alias("problem")).agg(F.count(F.lit(1)).alias("responses"))
+    return rows.groupBy("speech_id", scoring.response_problem((newest,)).alias("problem")).agg(F.count(F.lit(1)).alias("responses"))
 
 
 _TURN = "CAST('0x' || substr(sha256(fingerprint), 1, 2) AS INTEGER) % 4"

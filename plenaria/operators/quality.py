@@ -122,14 +122,22 @@ def missing_coverage(rows: DataFrame, countries: tuple[str, ...] = COUNTRIES, ye
     return F.broadcast(grid).join(seen, ["country", "year"], "left_anti")
 
 
+#: Numbers of one window of number_gaps.
+SPAN = 1 << 16
+
+
 def number_gaps(rows: DataFrame, group: list[str], number: str) -> DataFrame:
     """Runs of numbers missing between a group's least and greatest: group, first_missing, last_missing.
 
-    By the distance to the next number, so no range is ever laid out; the window is split by group.
+    By the distance to the next number, so no range is ever laid out. The windows are of SPAN numbers each, whatever a group
+    holds; between them only their ends are compared.
     """
-    numbers = rows.where(F.col(number).isNotNull()).select(*group, number).distinct()
-    after = F.lead(number).over(Window.partitionBy(*group).orderBy(number))
-    return numbers.withColumn("_next", after).where(F.col("_next") > F.col(number) + 1).select(*group, (F.col(number) + 1).alias("first_missing"), (F.col("_next") - 1).alias("last_missing"))
+    numbers = rows.where(F.col(number).isNotNull()).select(*group, F.col(number).cast("bigint").alias("_n"), F.floor(F.col(number) / SPAN).alias("_span")).distinct()
+    inside = numbers.select(*group, "_n", F.lead("_n").over(Window.partitionBy(*group, "_span").orderBy("_n")).alias("_next"))
+    ends = numbers.groupBy(*group, "_span").agg(F.min("_n").alias("_least"), F.max("_n").alias("_n"))
+    between = ends.select(*group, "_n", F.lead("_least").over(Window.partitionBy(*group).orderBy("_span")).alias("_next"))
+    gaps = inside.unionByName(between).where(F.col("_next") > F.col("_n") + 1)
+    return gaps.select(*group, (F.col("_n") + 1).alias("first_missing"), (F.col("_next") - 1).alias("last_missing"))
 
 
 def number_coverage(rows: DataFrame, group: list[str], number: str) -> DataFrame:

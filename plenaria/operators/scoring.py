@@ -16,7 +16,7 @@ def fraction(value: Column, name: str) -> Column:
     return F.when((plain >= 0) & (plain <= 1), plain).otherwise(F.raise_error(F.lit(f"{name} must be between 0 and 1")))
 
 
-def response_problem(responses: DataFrame, allowed: tuple[str, ...] | None = None) -> Column:
+def response_problem(allowed: tuple[str, ...] | None = None) -> Column:
     """What is wrong with a complete response, null if nothing is or if it isn't complete: a fraction that is none or lies outside
     of [0, 1], fractions that add up to more than 1, a version that isn't among the allowed ones."""
     names = ("fraction_ai", "fraction_ai_assisted", "fraction_human")

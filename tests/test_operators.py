@@ -322,3 +322,39 @@ def test_released_checkpoints_are_gone(spark):
     assert os.path.isdir(place)
     release(gone, spark.range(3))
     assert not os.path.exists(place) and kept.count() == 5
+
+
+def test_gaps_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SPAN", 10)
+    rng = random.Random(3)
+    data = [(g, k) for g in "ab" for k in rng.sample(range(-40, 200), 60)] + [("a", 500), ("c", 7), ("c", None)]
+    want = set()
+    for g in "abc":
+        own = sorted({k for x, k in data if x == g and k is not None})
+        want |= {(g, a + 1, b - 1) for a, b in zip(own, own[1:], strict=False) if b > a + 1}
+    assert {tuple(r) for r in quality.number_gaps(spark.createDataFrame(data * 2, "g string, k int"), ["g"], "k").collect()} == want
+
+
+def test_counts_of_states_and_warnings(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", None), ("b", "x")], "g string, s string")
+    assert {r.g: (r.x, r.z, r.other) for r in quality.status_counts(df, ["g"], "s", ("x", "z")).collect()} == {"a": (1, 0, 2), "b": (1, 0, 0)}
+    days = spark.createDataFrame([("b", "2017-01-01"), ("a", "2030-01-01"), ("c", "2020-01-01"), ("d", "x"), ("e", None)], "speech_id string, date string")
+    assert [tuple(r) for r in quality.warnings(days, most=1).collect()] == [("a", "date outside configured study years: 2030-01-01")] and quality.warnings(days).count() == 2
+
+
+def test_response_problems(spark):
+    ddl = "stage string, error string, version string, fraction_ai double, fraction_ai_assisted double, fraction_human double"
+    rows = [("complete", None, "v", 0.5, 0.3, 0.2), ("complete", None, "v", 0.9, 0.2, 0.0), ("complete", None, "v", None, 0.2, 0.0), ("complete", None, "v", 0.1, float("nan"), 0.0), ("complete", None, "w", 0.1, 0.1, 0.0), ("pending", None, "v", None, None, None), ("complete", "x", "v", None, None, None)]
+    got = [r.p for r in spark.createDataFrame(rows, ddl).select(scoring.response_problem(("v",)).alias("p")).collect()]
+    assert got == [None, "fractions sum to more than 1", "invalid fraction_ai", "invalid fraction_ai_assisted", "version isn't entitled", None, None]
+
+
+def test_positions_and_fingerprints(spark):
+    from plenaria.sources import files
+
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"))
+    got = sampling.positioned(df.repartition(7), ["k"]).collect()
+    assert sorted((r.position, r.k) for r in got) == [(k + 1, k) for k in range(500)] and sampling.positioned(df.limit(0), ["k"]).count() == 0
+    texts = ["", 'a"b\\c/d', "".join(map(chr, range(32))) + "\x7fé😀", "\\u001F", None]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", files.fingerprints({"b": 1, "a": "ü"}, F.col("t")).alias("f")).collect()
+    assert all(r.f == (None if r.t is None else files.request_fingerprint({"b": 1, "a": "ü"}, r.t)) for r in made)
