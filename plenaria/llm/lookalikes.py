@@ -198,9 +198,11 @@ def same_look_pairs(classes: DataFrame, key: str = "speech_id") -> DataFrame:
     Rows that are equal in characters are never paired with each other: the pairing is between the distinct character
     strings of a look, each then opened to its keys.
     """
-    strings = classes.groupBy("look", "chars").agg(F.count(F.lit(1)).alias("_n"))
+    strings = classes.select("look", "chars").distinct()
     mixed = strings.groupBy("look").agg(F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1").select("look")
-    kinds = strings.join(mixed, "look", "left_semi")
+    # all that follows is about the few looks with several strings
+    classes = cut(classes.join(mixed, "look", "left_semi"))
+    kinds = classes.select("look", "chars").distinct()
     one, two = kinds.select("look", F.col("chars").alias("_ca")), kinds.select("look", F.col("chars").alias("_cb"))
     a = classes.select("look", F.col(key).alias(f"{key}_a"), F.col("chars").alias("_ca"))
     b = classes.select("look", F.col(key).alias(f"{key}_b"), F.col("chars").alias("_cb"))

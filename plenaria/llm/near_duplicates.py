@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenaria.functions.deliveries import first_rows, maybe_among
+from plenaria.functions.deliveries import first_delivery, first_rows, maybe_among
 from plenaria.llm.codepoints import pieces, to_points
 from plenaria.llm.components import components
 from plenaria.llm.words import mix, occurrence_hashes, word_counts, word_hashes
@@ -254,9 +254,9 @@ class NearDuplicates:
     """
 
     def __init__(self, df: DataFrame, key: str = "speech_id", text: str = "speech_text", at: str = "delivered_at", min_words: int = MIN_WORDS, least: float = LEAST_COMMON) -> None:
-        self.key = key
-        self.first = first_rows(df, {"_text": F.col(text)}, key, at)
-        signs = cut(signed(self.first, key, "_text", min_words))
+        self.key, self.at = key, at
+        self.texts = df.select(key, at, F.col(text).alias("_text"))
+        signs = cut(signed(first_rows(self.texts, {"_text": F.col("_text")}, key, at), key, "_text", min_words))
         # a class is known by its 128 bits and numbered by its least row, so that no two are ever mixed up
         classes = signs.groupBy("seq").agg(F.min("row").alias("id"))
         self.members = cut(signs.select("key", "seq", "row").join(classes, "seq").select(F.col("key").alias(key), "id", "row"))
@@ -285,7 +285,8 @@ class NearDuplicates:
         if but is not None:
             ids = ids.join(but, "id", "left_anti")
         wanted = cut(self.members.join(ids, (F.col("row") == ids.id)).select(ids.id, F.col(self.key).alias("key")))
-        texts = maybe_among(self.first, self.key, wanted.select("key")).where("_maybe")
+        few = maybe_among(self.texts, self.key, wanted.select("key")).where("_maybe")
+        texts = first_delivery(few, {"_text": F.col("_text")}, self.key, self.at)
         out = cut(bags(texts, self.key, "_text").join(small(wanted, 64), "key").select("id", "bag"))
         release(wanted)
         return out
