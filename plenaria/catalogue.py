@@ -9,7 +9,7 @@ from plenaria import catalogue_sources, catalogue_transport, schema
 from plenaria.functions import text as T
 from plenaria.functions.countries import CODES, COUNTRIES, country_name
 from plenaria.operators import aggregate, controls, corpus, cost, provenance, quality, review, sampling, scoring
-from plenaria.runtime import table
+from plenaria.runtime import cut, table
 from plenaria.sources import files, parsers
 from plenaria.streaming import queries as streams
 
@@ -356,10 +356,20 @@ def strata_stats(spark, d):
     return sampling.strata(_corpus(spark, d, "country", "day", "words"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CORPUS}, {_STRATA}, room AS (SELECT CAST(sum(max_units) AS BIGINT) AS least, (CAST(sum(max_units) AS BIGINT) + CAST(sum(total_units) AS BIGINT)) // 2 AS available, CAST(sum(total_units) AS BIGINT) AS whole FROM strata),
+      steps AS (SELECT row_number() OVER (ORDER BY k::DOUBLE / eligible, stratum) AS i, stratum, max_units FROM strata, generate_series(1, eligible - 1) t(k)),
+      walk AS (SELECT CAST(0 AS BIGINT) AS i, least AS reserved, CAST(NULL AS VARCHAR) AS stratum, false AS fits FROM room
+        UNION ALL SELECT s.i, CASE WHEN w.reserved + s.max_units <= available THEN w.reserved + s.max_units ELSE w.reserved END, s.stratum, w.reserved + s.max_units <= available FROM walk w JOIN steps s ON s.i = w.i + 1, room),
+      more AS (SELECT stratum, count(*) AS n FROM walk WHERE fits GROUP BY stratum)
+      SELECT s.*, CASE WHEN whole <= available THEN eligible ELSE 1 + coalesce(n, 0) END AS selected FROM strata s LEFT JOIN more USING (stratum), room"""
+)
 def budget_plan(spark, d):
-    rows = _corpus(spark, d, "country", "day", "words")
-    return sampling.budget_plan(rows, budget=1000.0, price=0.5)
+    """The plan of a budget that lies halfway between the least possible one and that for everything."""
+    rows = cut(_corpus(spark, d, "country", "day", "words"))
+    least, whole = sampling.strata(rows).agg(F.sum("max_units"), F.sum("total_units")).first()
+    plan = sampling.budget_plan(rows, budget=round((least + whole) // 2 * 0.05, 2), price=0.5)
+    return plan.drop("inclusion_probability", "weight")
 
 
 def _fixed_plan(spark, d, rows):
