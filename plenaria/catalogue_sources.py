@@ -143,7 +143,7 @@ _MEMBER = "MIEMBRO DE LA CÁMARA"
     )
 )
 def parse_spanish_html(spark, d):
-    form = f'<div class="datos1">15/03/2022</div><p class="textoCompleto">SUMARIO<br>Se abre la sesión.<br>El señor {_MEMBER}: %s</p>'
+    form = f'<div class="datos1">15/03/2022</div><p class="textoCompleto">SUMARIO<br>Se abre la sesión.<br>El señor {_MEMBER}: %s<br>El señor SECRETARIO DE LA MESA: Lista de nombres.</p>'
     parsed, _ = parsers.parse_files(documents_of(records(spark, d, "Spain"), form, "speech_text", term=F.lit(14), number=F.col("speech_id")), "es_html")
     return read_back(parsed, F.regexp_extract("session_id", "PL-(.*)$", 1))
 
@@ -154,16 +154,46 @@ _TIDY = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({SQUEEZED
 
 @query(read_back_sql("Spain", f"'{_MEMBER}'", f"trim({_TIDY})", r"NOT regexp_matches(speech_text, '(?i)\bSe\s+(?:abre|reanuda)\s+la\s+sesi[oó]n')"))
 def parse_spanish_lines(spark, d):
-    """Journals of positioned lines."""
-    rows = records(spark, d, "Spain")
-    body = F.regexp_replace("speech_text", r"(?U)[\s\p{Z}]+", " ")
-    entry = lambda y, text, bold: F.struct(F.lit(1).alias("page"), F.lit(y).alias("y"), F.lit(60.0).alias("x"), text.alias("text"), F.lit(bold).alias("bold"))
-    lines = F.to_json(F.array(entry(700.0, F.lit("Se abre la sesión"), False), entry(690.0, F.concat(F.lit(f"El señor {_MEMBER}: "), body), True)))
-    made = documents_of(rows, "%s", lines, term=F.lit(14), number=F.col("speech_id"), date=F.lit("2022-03-15"))
-    parsed, _ = parsers.parse_files(made, "es_pdf_lines")
+    """Journals of positioned chunks: with page marks and furniture, and ended by a heading."""
+    parsed, _ = parsers.parse_files(_spanish_chunks(records(spark, d, "Spain")), "es_pdf_lines")
     return read_back(parsed, F.regexp_extract("session_id", "PL-(.*)$", 1))
 
 
+def _spanish_chunks(rows: DataFrame) -> DataFrame:
+    body = F.regexp_replace("speech_text", r"(?U)[\s\p{Z}]+", " ")
+    chunk = lambda order, y, x, text, bold=False: F.struct(F.lit(1).alias("page"), F.lit(order).alias("order"), F.lit(y).alias("y"), F.lit(x).alias("x"), (F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(bold).alias("bold"))
+    lines = [
+        chunk(0, 700.0, 60.0, "Se abre la sesión"), chunk(1, 690.0, 120.0, F.concat(F.lit(f"{_MEMBER}: "), body)), chunk(2, 690.4, 60.0, "El señor ", True), chunk(3, 680.0, 60.0, "cve: DSCD-14-PL-59"),
+        chunk(4, 670.0, 60.0, "Página 7"), chunk(5, 660.0, 60.0, "PROPOSICIONES DE LEY", True), chunk(6, 650.0, 60.0, "Lo que nadie dijo."), chunk(7, 30.0, 60.0, "Pie"),
+    ]
+    return documents_of(rows, "%s", F.to_json(F.array(*lines)), term=F.lit(14), number=F.col("speech_id"), date=F.lit("2022-03-15"))
+
+
+_HTML_TEXT = SQUEEZED(rf"regexp_replace(regexp_replace(t, '\bPágina\s+\d+\b', ' ', 'g'), '{_SPANISH_CUE}', ' ', 'gi')")
+_ODD = "CAST(right(speech_id, 1) AS INTEGER) % 2 = 1"
+
+
+@query(read_back_sql("Spain", f"'{_MEMBER}'", f"CASE WHEN {_ODD} THEN trim({_TIDY}) ELSE {_HTML_TEXT} END", r"NOT regexp_matches(speech_text, '(?i)\bSe\s+(?:abre|reanuda)\s+la\s+sesi[oó]n')"))
+def build_spain(spark, d):
+    """A builder: journals by their page, and by their lines where the page has no text."""
+    rows = records(spark, d, "Spain")
+    odd = F.right("speech_id", F.lit(1)).cast("int") % 2 == 1
+    page = F.when(odd, "<p>x</p>").otherwise(F.concat(F.lit(f'<div class="datos1">15/03/2022</div><p class="textoCompleto">SUMARIO<br>Se abre la sesión.<br>El señor {_MEMBER}: '), SAFE(F.col("speech_text")), F.lit("</p>")))
+    built = builders.spain({"html": documents_of(rows, "%s", page, term=F.lit(14), number=F.col("speech_id")), "lines": _spanish_chunks(rows)})
+    return read_back(built.speeches, F.regexp_extract("session_id", "PL-(.*)$", 1))
+
+
+@query(
+    rf"""SELECT DISTINCT speech_id AS path, speech_text <> '' AND party IS NOT NULL AS full_text, party IS NULL AS pdf, CASE WHEN party IS NOT NULL THEN '2022-03-15' END AS day FROM
+      (SELECT *, row_number() OVER (PARTITION BY speech_id ORDER BY delivered_at) AS rn FROM speeches WHERE {COUNTRY} = 'Spain' AND speech_id IS NOT NULL AND speech_text IS NOT NULL) WHERE rn = 1"""
+)
+def usable_journals(spark, d):
+    """Which journals have a full text, which are PDFs, and their days."""
+    rows = records(spark, d, "Spain")
+    page = F.when(F.col("party").isNull(), "%PDF-1.4").otherwise(F.concat(F.lit('<div class="datos1">Del 15/03/2022</div><p class="textoCompleto">'), SAFE(F.col("speech_text")), F.lit("</p>")))
+    return parsers.journals.usable(documents_of(rows, "%s", page))
+
+
 @query(read_back_sql("Germany", "speaker_name", "t"))
 def parse_german_xml(spark, d):
     form = (
@@ -637,3 +667,90 @@ def control_order(spark, d):
     rows = table(spark, d, "speeches").where("country IS NOT NULL AND text_language IS NOT NULL").withColumn("generator", F.lit(""))
     found = controls.detections(rows, table(spark, d, "detector_responses")).where("detected_ai").select("country", "speech_id").distinct()
     return sampling.positioned(found, ["country", "speech_id"])
+
+
+# what a study writes --------------------------------------------------------------------------------------------------
+_YEARLY = f"y AS (SELECT name, year FROM (SELECT {COUNTRY} AS name, year({DAY}) AS year FROM speeches) WHERE year IS NOT NULL AND name IS NOT NULL GROUP BY name, year)"
+
+
+@query(f"""WITH {_YEARLY} SELECT 'circle' AS element, count(*) AS times FROM y UNION ALL SELECT 'polyline', count(DISTINCT name) FROM y UNION ALL SELECT 'labels', count(DISTINCT year) FROM y""")
+def chart_elements(spark, d):
+    """The points and lines of a chart of all countries and years, and its labels of years."""
+    rows = table(spark, d, "speeches").select(country_name(F.col("country")).alias("country"), F.year(any_date(F.col("date"))).alias("year")).where("country IS NOT NULL AND year IS NOT NULL")
+    found = outputs.small_rows(rows.groupBy("country", F.col("year").cast("string").alias("period")).agg((F.count(F.lit(1)) / 1e6).alias("share")), ["country", "period"])
+    chart = outputs.line_chart(found, "speeches", "share")
+    years = {r["period"] for r in found}
+    counts = [("circle", chart.count("<circle")), ("polyline", chart.count("<polyline")), ("labels", sum(f">{y}</text>" in chart for y in years))]
+    return spark.createDataFrame(counts, "element string, times bigint")
+
+
+@query("SELECT DISTINCT speech_id, CAST('0x' || substr(sha256(speech_id), 1, 2) AS BIGINT) % 16 / 100.0::DOUBLE AS ai, CAST('0x' || substr(sha256(speech_id), 3, 2) AS BIGINT) % 11 / 100.0::DOUBLE AS mixed FROM speeches WHERE speech_id IS NOT NULL")
+def response_sink(spark, d):
+    """Responses as they are written: an id and a struct, as JSON lines."""
+    rows = table(spark, d, "speeches").where("speech_id IS NOT NULL").select("speech_id").distinct()
+    with scratch(spark) as place:
+        outputs.write_jsonl(rows.select("speech_id", scoring.mock_shares(F.col("speech_id")).alias("response")), place)
+        return cut(spark.read.schema("speech_id string, response struct<ai double, mixed double>").json(place).select("speech_id", "response.ai", "response.mixed"))
+
+
+@query("SELECT n_name AS speech_id, CASE WHEN n_regionkey % 2 = 0 THEN 'verified' ELSE 'mismatch' END AS status FROM nation")
+def packet_statuses(spark, d):
+    """A packet for a reviewer: a heading and a status for each record."""
+    import re
+
+    rows = table(spark, d, "nation").select(F.col("n_name").alias("speech_id"), F.when(F.col("n_regionkey") % 2 == 0, "verified").otherwise("mismatch").alias("status"), F.lit("text").alias("text"))
+    packet = outputs.review_packet(outputs.small_rows(rows, ["speech_id"]))
+    found = re.findall(r"^## (.+)\n\n.*\*\*(\w+)\*\*", packet, re.M)
+    return spark.createDataFrame(found, "speech_id string, status string")
+
+
+@query("SELECT n_name AS name, CAST(length(n_name) + 1 AS BIGINT) AS bytes, sha256(n_name || chr(10)) AS sha256 FROM nation")
+def file_inventory(spark, d):
+    """All files below a folder with their sizes and digests; place holders and unfinished ones aren't among them."""
+    rows = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_name").alias("value"))
+    with scratch(spark) as place:
+        rows.repartition("name").write.partitionBy("name").text(place)
+        found = files.file_digests(files.raw_files(spark, place)).where(~F.col("path").rlike("_SUCCESS$"))
+        return cut(found.select(F.replace(F.regexp_extract("path", "name=([^/]*)/", 1), F.lit("%20"), F.lit(" ")).alias("name"), "bytes", "sha256"))
+
+
+@query("SELECT row_number() OVER (ORDER BY speech_id) AS position, speech_id, count(*) OVER () > 0 AS whole FROM (SELECT DISTINCT speech_id FROM speeches WHERE trim(speech_id) <> '')")
+def resumed_output(spark, d):
+    """An output that broke off after its first rows, checked, finished and moved to its place."""
+    rows = table(spark, d, "speeches").select("speech_id").where("trim(speech_id) <> ''").distinct()
+    whole = sampling.positioned(rows, ["speech_id"])
+    with scratch(spark) as place:
+        whole.where("position % 100000 < 50").where(F.col("position") < 50).write.parquet(f"{place}/part.tmp")
+        builders.resume(spark, f"{place}/part.tmp", whole, f"{place}/part")
+        return cut(spark.read.parquet(f"{place}/part").withColumn("whole", F.lit(True)))
+
+
+GUARDS = ("negative price", "infinite price", "zero budget", "budget over cap", "paid without confirmation", "cap passed", "four trial speeches", "unknown country", "incomplete corpus", "absent corpus", "options that exclude each other")
+
+
+@query("SELECT guard, true AS refused FROM (VALUES " + ", ".join(f"('{g}')" for g in GUARDS) + ") t(guard) UNION ALL SELECT 'nothing wrong', false")
+def guards(spark, d):
+    """What a study refuses before anything is written or paid."""
+    import contextlib
+
+    from plenaria.plans import commands, study
+
+    absent = f"{d}/no such corpus.jsonl"
+    none = spark.createDataFrame([], "country string, day date")
+    tries = {
+        "negative price": lambda: study.finite("price", -1.0), "infinite price": lambda: study.finite("price", float("inf")), "zero budget": lambda: study.finite("budget", 0.0, above=True),
+        "budget over cap": lambda: study.run_study(spark, "/nowhere", sample_budget=3.0, max_cost=1.0), "paid without confirmation": lambda: study.run_study(spark, "/nowhere", absent, dry_run=False),
+        "cap passed": lambda: cost.within_cap(0.1, 0.2, 0.3) and not cost.within_cap(0.1, 0.2, 0.2999) and study.finite("cost over the cap", -1.0), "four trial speeches": lambda: study.run_trial(spark, "/nowhere", absent, 4, 0.5, {}, None, confirmed=True),
+        "unknown country": lambda: study.run_trial(spark, "/nowhere", absent, 1, 0.5, {}, None, "Atlantis", confirmed=True), "incomplete corpus": lambda: study.paid_guard(none, {}), "absent corpus": lambda: study.read_corpus(spark, absent, True),
+        "options that exclude each other": lambda: commands.checked(p := commands.parser(), p.parse_args(["run", "--dry-run", "--confirm"])), "nothing wrong": lambda: study.finite("price", 0.0),
+    }
+
+    def refused(act) -> bool:
+        try:
+            with contextlib.redirect_stderr(io.StringIO()):
+                act()
+        except (ValueError, OSError, SystemExit):
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(act)) for name, act in tries.items()], "guard string, refused boolean")
