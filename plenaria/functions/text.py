@@ -57,9 +57,13 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(one_line, r"\s+([.,;:!?)\]»”])", "$1")
 
 
+#: What a loose form leaves out of a normalized text.
+LOOSE = r"[^0-9a-zà-öø-ÿ]+"
+
+
 def loose(text: Column) -> Column:
     """Only digits and Latin-1 letters of the normalized text."""
-    return F.regexp_replace(normalized(text), r"[^0-9a-zà-öø-ÿ]+", "")
+    return F.regexp_replace(normalized(text), LOOSE, "")
 
 
 def text_digest(text: Column) -> Column:

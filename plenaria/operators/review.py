@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenaria.functions.text import loose, normalized
+from plenaria.functions.text import LOOSE, normalized
 
 HEAD = 160
 SEGMENT, LONE_SEGMENT, FOUND = 25, 80, 0.9
 
 
 def containment(record: Column, source: Column) -> Column:
-    """verified, normalized, partial or mismatch. Null texts are empty; an empty record is a mismatch."""
-    needle, hay = normalized(F.coalesce(record, F.lit(""))), normalized(F.coalesce(source, F.lit("")))
-    bare = loose(F.coalesce(record, F.lit("")))
+    """verified, normalized, partial or mismatch. Null texts are empty; an empty record is a mismatch.
+
+    Both texts are normalized once a row; what later tests need is made of these forms, and only where it comes to them.
+    """
+    forms = F.struct(normalized(F.coalesce(record, F.lit(""))).alias("needle"), normalized(F.coalesce(source, F.lit(""))).alias("hay"))
+    return F.get(F.transform(F.array(forms), lambda x: _status(x["needle"], x["hay"])), F.lit(0))
+
+
+def _status(needle: Column, hay: Column) -> Column:
+    bare = lambda x: F.regexp_replace(x, LOOSE, "")
     tail = F.when(F.char_length(needle) > HEAD, F.substring(needle, -HEAD, HEAD)).otherwise(needle)
     segments = F.filter(F.transform(F.split(needle, r"[.!?;:]\s+"), F.trim), lambda s: F.char_length(s) >= SEGMENT)
     found = F.size(F.filter(segments, lambda s: F.contains(hay, s)))
@@ -22,7 +29,7 @@ def containment(record: Column, source: Column) -> Column:
     return (
         F.when(needle == "", "mismatch")
         .when(F.contains(hay, needle), "verified")
-        .when((bare != "") & F.contains(loose(F.coalesce(source, F.lit(""))), bare), "normalized")
+        .when((bare(needle) != "") & F.contains(bare(hay), bare(needle)), "normalized")
         .when(F.contains(hay, F.substring(needle, 1, HEAD)) | F.contains(hay, tail), "partial")
         .when(F.coalesce(enough, F.lit(False)), "partial")
         .otherwise("mismatch")
