@@ -29,11 +29,12 @@ REPORT = "source string, target_share double, available_tokens bigint, max_repea
 
 @dataclass
 class Node:
-    """A node with its weight among its siblings; a leaf has the tokens it can give, repeats included."""
+    """A node with its weight among its siblings; a leaf has the tokens it can give, repeats included, and the repeats."""
 
     name: str
     weight: float
     limit: float = 0.0
+    repeats: int = field(default=0, kw_only=True)
     children: list[Node] = field(default_factory=list)
     budget: float = 0.0
 
@@ -94,7 +95,7 @@ def tree(sums: dict[tuple[str, str], int], wanted: dict[str, tuple[float, int]],
                 if found is None:
                     path.children.append(found := Node(name, 0.0))
                 path = found
-            path.children.append(Node(source, weight * n / whole if whole else weight / len(own), n * repeats))
+            path.children.append(Node(source, weight * n / whole if whole else weight / len(own), n * repeats, repeats=repeats))
 
     def weigh(node: Node) -> float:
         node.weight = sum(map(weigh, node.children)) if node.children else node.weight
@@ -151,7 +152,9 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: str = SEED, domains: dict[st
     for (source, lang), leaf in leaves(root).items():
         own = sums.get((source, lang), 0.0)
         epochs = int((leaf.budget + ROUNDING) // own) if own else 0
-        spent.append((source, lang, epochs, max(0.0, float(leaf.budget - epochs * own)) + ROUNDING))
+        # a leaf with all its repeats has no part of an epoch left, not even for documents without tokens
+        rest = max(0.0, float(leaf.budget - epochs * own)) + ROUNDING if epochs < leaf.repeats else -1.0
+        spent.append((source, lang, epochs, rest))
     budgets = sizes.sparkSession.createDataFrame(spent, "source string, lang string, _epochs int, _rest double")
     rows = sizes.join(F.broadcast(budgets), ["source", "lang"]).withColumn("_unit", unit_hash(seed, F.col("_epochs"), F.col("doc_id")))
     extra = hash_prefix(rows, ["source", "lang"], "_unit", F.col("tokens"), "_rest", "doc_id").withColumn("copies", F.lit(1))

@@ -79,6 +79,13 @@ def test_report_and_mix(spark):
     assert abs(sum(shares.values()) - 1) < 1e-9 and shares["none"] == 0
 
 
+def test_documents_without_tokens_are_not_repeated_more_often(spark):
+    data = [(1, "wort wort", "de", "a", ""), (2, "", "de", "a", ""), (3, None, "de", "a", ""), (4, "wort " * 50, "de", "b", ""), (5, "", "fr", "c", ""), (6, "", "fr", "d", "")]
+    sizes = M.sized(spark.createDataFrame(data, DDL))
+    mixed = {r.doc_id: r.copies for r in M.mix(sizes, targets(spark, ("a", 0.5, 2), ("b", 0.5, 1), ("c", 0.0, 1), ("d", 0.0, 0))).collect()}
+    assert mixed[1] == mixed[2] == mixed[3] == 2 and mixed.get(4, 1) == 1 == mixed.get(5, 1) and 6 not in mixed
+
+
 def test_empty(spark):
     sizes = M.sized(documents(spark).limit(0))
     t = targets(spark, ("big", 1.0, 1), (None, 0.5, 1))
