@@ -7,6 +7,7 @@ import csv
 import hashlib
 import io
 import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from plenaria.functions.deliveries import first_delivery
 from plenaria.functions.text import any_date
 from plenaria.operators import controls, corpus, cost, provenance, quality, sampling, scoring
 from plenaria.plans import outputs
-from plenaria.runtime import cut, scratch, table
+from plenaria.runtime import cut, mounted, scratch, table
 from plenaria.sources import acquire, builders, files, parsers
 from plenaria.streaming.states import ResponseStates
 
@@ -354,15 +355,12 @@ def request_fingerprints(spark, d):
 )
 def result_csv(spark, d):
     """A result table written as CSV and read back."""
-    import tempfile
-    from pathlib import Path
-
     from plenaria.functions.text import word_count
     from plenaria.operators import aggregate
 
     rows = table(spark, d, "speeches").select(country_name(F.col("country")).alias("country"), word_count(F.col("speech_text")).alias("words"))
-    with tempfile.TemporaryDirectory() as place:  # a few rows, which the driver alone writes and reads
-        path = Path(place) / "size.csv"
+    with scratch(spark) as place:
+        path = Path(mounted(place), "size.csv")
         outputs.put_csv(path, outputs.small_rows(aggregate.country_sizes(rows, corpus.dimension(spark)), ["country"]))
         back = list(csv.DictReader(io.StringIO(path.read_text(encoding="utf-8"))))
     return spark.createDataFrame([tuple(r.values()) for r in back], ", ".join(f"{c} string" for c in back[0]))

@@ -4,7 +4,6 @@ against the small dimension tables that the pages are made of."""
 from __future__ import annotations
 
 import json
-import tempfile
 from pathlib import Path
 from urllib.parse import parse_qs, urlsplit
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plenaria.functions.text import any_date
 from plenaria.operators import quality
-from plenaria.runtime import cut, scratch, table
+from plenaria.runtime import cut, mounted, scratch, table
 from plenaria.sources import acquire, files, paged
 from plenaria.streaming.tail import GrowingFile, TailCount
 
@@ -102,25 +101,29 @@ def fetched_files(spark, d):
     wanted = rows.select(F.col("n_nationkey").cast("string").alias("path"), F.concat(F.lit(f"{SITE}/"), "n_nationkey", F.lit("?token=1#"), text).alias("url"))
     present = rows.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").cast("string").alias("path"))
 
-    def connect():
-        folder = tempfile.TemporaryDirectory()  # what the client of one worker fetches, gone with it
+    with scratch(spark) as place:
+        folder = mounted(place)
 
-        def get(url: str, path: str) -> dict:
-            if int(path) % 5 == 4:
-                raise OSError("no file")
-            site = Site({url: url.partition("#")[2].encode()})
-            return acquire.download(url, f"{folder.name}/{path}", site, f"{folder.name}/manifest.jsonl", lambda s: None, piece=7)
+        def connect():
+            sites: dict[str, Site] = {}  # what the client of one worker keeps
 
-        return get
+            def get(url: str, path: str) -> dict:
+                if int(path) % 5 == 4:
+                    raise OSError("no file")
+                site = sites.setdefault(url, Site({url: url.partition("#")[2].encode()}))
+                return acquire.download(url, f"{folder}/{path}", site, f"{folder}/manifest.jsonl", lambda s: None, piece=7)
 
-    return acquire.fetch_missing(wanted, present, connect=connect)
+            return get
+
+        return cut(acquire.fetch_missing(wanted, present, connect=connect))
 
 
 @query("SELECT n_name AS name, sha256(n_name || n_regionkey) AS sha256, CAST(length(n_name || n_regionkey) AS BIGINT) AS bytes, 'https://example.invalid/' || n_nationkey || '?a=1' AS source_url FROM nation")
 def download_manifest(spark, d):
     """The manifest that downloads append to: one entry each, without credentials."""
     rows = entries(spark, d, "nation")
-    with tempfile.TemporaryDirectory() as place:  # a few files, which the driver alone writes and reads
+    with scratch(spark) as shared:
+        place = mounted(shared)
         for r in rows:
             url = f"{SITE}/{r['n_nationkey']}?a=1&api_key=x#y"
             acquire.download(url, f"{place}/{r['n_name']}", Site({url: f"{r['n_name']}{r['n_regionkey']}".encode()}), f"{place}/manifest.jsonl", lambda s: None, piece=4)
@@ -147,8 +150,9 @@ def tailed_lines(spark, d):
     names = [r["n_name"] for r in entries(spark, d, "nation")]
     whole = "".join(f"{x}\n" for x in names).encode()
     spark.dataSource.register(GrowingFile)
-    with tempfile.TemporaryDirectory() as place, scratch(spark) as shared:  # the driver alone reads the file that it writes here
-        path, tail = Path(place, "log.jsonl"), TailCount(r"\w+")
+    with scratch(spark) as shared:
+        path, tail = Path(mounted(shared), "log.jsonl"), TailCount(r"\w+")
+        path.parent.mkdir(parents=True)
         path.write_bytes(b"")
 
         def write(rows: DataFrame, batch: int) -> None:

@@ -79,6 +79,14 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         delete(spark, path)
 
 
+def mounted(place: str) -> str:
+    """The path of a shared folder that all machines have in their file systems; an error for other storage."""
+    scheme, colon, path = place.rpartition(":")
+    if colon and scheme != "file":
+        raise ValueError(f"{place} isn't in a file system")
+    return f"/{path.lstrip('/')}" if colon else path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from plenaria import schema
+from plenaria.runtime import mounted
 
 COMPLETE, PENDING, UNKNOWN = "complete", "pending", "submission_unknown"
 ROWS = f"{schema.STATE_DDL}, step bigint, writer string, at_utc timestamp"
@@ -53,10 +54,7 @@ class ResponseStates:
 
     def __init__(self, spark: SparkSession, path: str, claims: FileClaims | None = None) -> None:
         self.spark, self.path = spark, path
-        scheme, colon, place = path.rpartition(":")
-        if claims is None and scheme not in ("", "file"):
-            raise ValueError(f"claims are needed for storage of {scheme}")
-        self.claims = claims or FileClaims(f"/{place.strip('/')}-claims" if colon or place.startswith("/") else f"{place.rstrip('/')}-claims")
+        self.claims = claims or FileClaims(f"{mounted(path).rstrip('/')}-claims")
 
     def history(self) -> DataFrame:
         try:
