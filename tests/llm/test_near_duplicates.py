@@ -132,6 +132,20 @@ def test_the_only_link_of_an_outer_version_is_kept(spark, monkeypatch):
     assert {tuple(r) for r in D.NearDuplicates(table(spark, texts + [("copy", texts[0][1])])).pairs().collect()} == brute([*texts, ("copy", texts[0][1])])
 
 
+def test_leaders_spare_most_pairs_of_a_huge_group(spark, monkeypatch):
+    texts = outer_version(random.Random(3))[:-2]
+    counts, real = [], D.candidate_pairs
+
+    def counted(reps, shared):
+        out = real(reps, shared)
+        counts.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(D, "candidate_pairs", counted)
+    monkeypatch.setattr(D, "BUCKET", 16)
+    assert len(D.NearDuplicates(table(spark, texts)).pairs().collect()) == 120 * 119 // 2 > counts[0]
+
+
 def test_versions_at_the_border_of_a_large_bucket(spark):
     """100 versions of a text with two words changed, and further texts that share 151 of 200 words with one of them each."""
     rng = random.Random(12)
