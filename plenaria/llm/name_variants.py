@@ -1,10 +1,12 @@
 """Problem 2: spellings of one person or body linked, by merging and rematching.
 
-Every distinct spelling of a country starts as a profile of its own. Profiles meet in blocks, matched ones are merged; the
-merged profile has the spellings, initials and ids of all its members, enters blocking with all of them again, and may now
-match what none of its members did, or be the only one left that an initial can stand for. This goes on until a round
-merges nothing; a round blocks and rates the profiles that the last one changed, all other ratings stay. Clear matches (same parts, or slips) are merged first; a spelling that leaves parts out is tied to a
-profile only if no other fits it, or if the speaker ids it was delivered with speak for one.
+Spellings of a country meet if they share an initial and a word of the name up to slips, and are compared once. Every distinct
+spelling starts as a profile of its own; two profiles are rated by what the comparison said of their spellings. Matched ones
+are merged; the merged profile has the spellings, initials and ids of all its members, and may now match what none of its
+members did, or be the only one left that an initial can stand for. This goes on until a round merges nothing; a round rates
+the profiles that the last one changed, all other ratings stay. Clear matches (same parts, or slips) are merged first; a
+spelling that leaves parts out is tied to a profile only if no other fits it, or if the speaker ids it was delivered with speak
+for one.
 """
 
 from __future__ import annotations
@@ -63,8 +65,10 @@ class Lexicon:
 
 
 LEXICON = Lexicon()
-#: Profiles of a block that one task rates against the others.
+#: Rows of a key that one task joins with the others.
 PART = 512
+#: Words up to this length meet by what is left after two deletions, longer ones (and, as these differ by two letters at most, those a little shorter) by their keys.
+LONG = 24
 CAMEL = re.compile(r"^((?:van|von|der|den|ten|ter|della|del|des|de|di|du|da|las|los|la|zu)+)(?=[A-ZÀ-Ž])")
 GLUED = re.compile(r"(?:van|von|der|den|ten|ter|della|del|des|de|di|du|da|las|los|la|zu)+")
 
@@ -82,6 +86,15 @@ class Name:
     def full(self) -> int:
         return sum(len(x) > 1 for x in (self.given, *self.rest))
 
+    def packed(self) -> str:
+        return "\t".join((self.given, self.short, *("".join(f"{w} " for w in x) for x in (self.rest, self.body))))
+
+
+@functools.lru_cache(200_000)
+def unpacked(text: str) -> Name:
+    given, short, rest, body = text.split("\t")
+    return Name(given, short, tuple(rest.split(" ")[:-1]), tuple(body.split(" ")[:-1]))
+
 
 def _plain(word: str, country: str) -> str:
     w = fold(word.strip(".'’-,"))
@@ -167,7 +180,12 @@ def _word(a: str, b: str) -> int:
         return 0
     n = min(len(a), len(b))
     most = 0 if n < 3 else 1 if n < 4 else 2
-    d = osa(a, b, most)
+    begin = end = 0
+    while begin < n and a[begin] == b[begin]:
+        begin += 1
+    while end < n - begin and a[-1 - end] == b[-1 - end]:
+        end += 1
+    d = osa(a[begin : len(a) - end], b[begin : len(b) - end], most)
     if d > most and n > 3:
         short, long_ = sorted((a, b), key=len)
         return 1 if long_.endswith(short) and GLUED.fullmatch(long_[: -len(short)]) else 9
@@ -274,49 +292,49 @@ def _skeleton(word: str) -> str:
     return out
 
 
-def block_keys(names: list[str], country: str, lexicon: Lexicon = LEXICON) -> list[str]:
-    """Keys under which a profile meets others: of its surnames, with the initials that the given name may have, the begin, the
-    end, and begin, end and letters of the consonants; and whole surnames. A slip or two leave one of them as it is."""
-    out = set()
-    for n in names:
-        p = parse(n, country, lexicon)
-        if p.body:
-            whole = "".join(p.rest)
-            out |= {f"b{whole[:4]}", f"e{whole[-4:]}"}
-            continue
-        initials = {x[:1] for x in _forms(p.given, country, lexicon)}
-        for w in p.rest:
-            if len(w) > 1:
-                k = _skeleton(w)
-                parts = (f"f{w[:4]}", f"l{w[-4:]}", f"s{''.join(sorted(k))[:6]}", f"m{k[:4]}", f"n{k[-4:]}")
-                out |= {f"{g}|{x}" for g in initials for x in parts}
-        if p.rest and len(p.rest[-1]) > 6:
-            out.add(f"w{p.rest[-1]}")
+def word_keys(w: str) -> set[str]:
+    """Of two words that differ by slips, one of these must be the same: the begin, the end, and begin, end and letters of the
+    consonants. A slip or two leave one of them as it is."""
+    k = _skeleton(w)
+    return {f"f{w[:4]}", f"l{w[-4:]}", f"s{''.join(sorted(k))[:6]}", f"m{k[:4]}", f"n{k[-4:]}"}
+
+
+def place_keys(p: Name) -> set[str]:
+    """The same for the places of two bodies: the begin and the end."""
+    whole = "".join(p.rest)
+    return {f"b{whole[:4]}", f"e{whole[-4:]}"}
+
+
+def leads(p: Name, country: str, lexicon: Lexicon = LEXICON) -> list[tuple[str, str, bool]]:
+    """(lead, word, anchor): under what a name meets others. The words of persons lie under the initials that the given name
+    may have, a long whole surname also without one, places of bodies under the number of their words. Of two names that match,
+    the last word of the shorter one stands for one of the other's, so that one of two words that meet must be an anchor."""
+    if p.body:
+        return [(f"b{len(p.rest)}", p.rest[-1], True)] if p.rest else []
+    words = [w for w in p.rest if len(w) > 1]
+    anchors = {words[-1]} if words and len(words) == len(p.rest) else set(words)
+    out = {(f"i{x[:1]}", w, w in anchors) for x in _forms(p.given, country, lexicon) for w in words}
+    if p.rest and len(p.rest[-1]) > 6:
+        out.add(("w", p.rest[-1], True))
     return sorted(out)
 
 
-def match_profiles(a: list[str], b: list[str], country: str, ids_a: dict[str, int], ids_b: dict[str, int], lexicon: Lexicon = LEXICON) -> tuple[int, int, float, int]:
-    """level (0 none), slips, share of common speaker ids, and which of the two is the poorer one (0 or 1)."""
-    na, nb = {parse(x, country, lexicon) for x in a}, {parse(x, country, lexicon) for x in b}
-    fullness = lambda n: (n.full(), len(n.rest))
-    top = lambda x: [n for n in x if fullness(n) == max(map(fullness, x))]
-    top_a, top_b = top(na), top(nb)
-    if not any(compare(x, y, country, lexicon) for x in top_a for y in top_b):
-        return 0, 9, 0.0, 0
-    found = [r for x in na for y in nb if (r := compare(x, y, country, lexicon))]
-    level, slips = max(found, key=lambda r: (r[0], -r[1]))
-    common = sum(min(ids_a[k], ids_b[k]) for k in ids_a.keys() & ids_b.keys())
-    votes = min(sum(ids_a.values()), sum(ids_b.values()))
-    overlap = common / votes if votes else 0.0
-    # ids of their own speak against slips: two of them need a common id if both sides have any
-    if level < 3 and slips and not common and votes >= (3 if slips == 1 else 1):
-        level = 0
-    elif slips == 2 and not common:
-        # without ids, so many slips need all parts and a rival-free match
-        level = 1 if level == 2 else 0
-    size = lambda top, names, ids: (fullness(top[0]), len(names), sum(ids.values()))
-    poorer = int(size(top_b, b, ids_b) < size(top_a, a, ids_a))
-    return level, slips, overlap, poorer
+def rests(w: str) -> list[str]:
+    """What words that are the same up to slips (see `_word`) share one of at least: the word, what is left of it after
+    deletions, and what particles at its begin are glued to."""
+    out = {w} | {w[k:] for k in range(2, len(w) - 3) if GLUED.fullmatch(w[:k])}
+    if len(w) > LONG - 2:
+        out |= {f"={x}" for x in word_keys(w)}
+    if 2 < len(w) <= LONG:
+        once = {w[:k] + w[k + 1 :] for k in range(len(w))}
+        out |= once
+        if len(w) > 3:
+            out |= {x[:k] + x[k + 1 :] for x in once for k in range(len(x))}
+    return sorted(out)
+
+
+def same_word(lead: str, a: str, b: str) -> bool:
+    return _word(a, b) < 9 and (lead[0] == "b" or not word_keys(a).isdisjoint(word_keys(b)))
 
 
 def spellings(speeches: DataFrame, key: str = "speech_id") -> DataFrame:
@@ -330,59 +348,124 @@ def spellings(speeches: DataFrame, key: str = "speech_id") -> DataFrame:
     return counted.where("home IS NOT NULL").groupBy(F.col("home").alias("country"), "name").agg(listed.alias("ids"))
 
 
+def _joined(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """a and b joined by key; a key of many rows of b is met in salted parts, so that no task has all of its pairs."""
+    hot = cut(b.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select(key, F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return a.join(b, key)
+    hot = small(hot, 32)
+    part = F.pmod(F.xxhash64(*b.columns, F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int")
+    b = b.join(hot, key, "left").withColumn("part", part).drop("parts")
+    a = a.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return a.join(b, [key, "part"]).drop("part")
+
+
+def _named(df: DataFrame, **names: str) -> DataFrame:
+    return df.select(*(F.col(old).alias(new) for old, new in names.items()))
+
+
+def linked(forms: DataFrame, lexicon: Lexicon = LEXICON) -> tuple[DataFrame, int]:
+    """a, b (a < b), level, slips: all pairs of different forms (fid, country, form) of which `compare` says that they may be
+    the same, and how many pairs it was asked for. Distinct words are matched first, then only the names that have them meet."""
+
+    @F.pandas_udf("array<struct<lead:string,word:string,anchor:boolean>>")
+    def led(form: pd.Series, country: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("lead", "word", "anchor"), x, strict=True)) for x in leads(unpacked(f), c, lexicon)] for f, c in zip(form, country, strict=True)], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def left(word: pd.Series) -> pd.Series:
+        return pd.Series([rests(w) for w in word], dtype=object)
+
+    @F.pandas_udf("boolean")
+    def same(lead: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([same_word(x, y, z) for x, y, z in zip(lead, a, b, strict=True)], dtype=bool)
+
+    @F.pandas_udf("level int, slips int")
+    def compared(a: pd.Series, b: pd.Series, country: pd.Series) -> pd.DataFrame:
+        def one(x: Name, y: Name, c: str) -> tuple[int, int]:
+            return (0, 9) if x.body and y.body and place_keys(x).isdisjoint(place_keys(y)) else compare(x, y, c, lexicon) or (0, 9)
+
+        return pd.DataFrame([one(unpacked(x), unpacked(y), c) for x, y, c in zip(a, b, country, strict=True)], columns=["level", "slips"])
+
+    rows = forms.select("fid", "country", F.explode(led("form", "country")).alias("x")).select("fid", "country", "x.*")
+    rows = cut(rows.withColumn("g", F.xxhash64("country", "lead", "word")))
+    groups = rows.where("lead <> 'w'").select("g", "country", "lead", "word").distinct()
+    some = cut(groups.select("g", "lead", "word", F.explode(left("word")).alias("rest"), "country").select(F.xxhash64("country", "lead", "rest").alias("key"), "g", "lead", "word"))
+    near = _joined(_named(some, key="key", g="g", lead="lead", word="word"), _named(some, key="key", g="h", word="other"), "key").where("g < h")
+    near = near.select("g", "h", "lead", "word", "other").distinct()
+    near = cut(near.where(same("lead", "word", "other")).select("g", "h"))
+    near = near.unionByName(rows.select("g", F.col("g").alias("h")).distinct())
+    a, b = _named(rows, fid="x", g="g", anchor="anchor_x"), _named(rows, fid="y", g="h", anchor="anchor_y")
+    met = _joined(a.join(near, "g").select("x", "anchor_x", "h", (F.col("g") == F.col("h")).alias("one")), b, "h").where("(anchor_x OR anchor_y) AND (x < y OR NOT one AND x <> y)")
+    met = cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    both = met.join(_named(forms, fid="a", form="form_a", country="country"), "a").join(_named(forms, fid="b", form="form_b"), "b")
+    found = cut(both.select("a", "b", compared("form_a", "form_b", "country").alias("r")).select("a", "b", "r.*").where("level > 0"))
+    asked = met.count()
+    release(rows, some, met)
+    return found, asked
+
+
+#: A profile's votes: its speaker ids with the sums of their counts.
+TALLY = (
+    "map_from_arrays(array_distinct(filter(ids.sid, s -> s IS NOT NULL)), "
+    "transform(array_distinct(filter(ids.sid, s -> s IS NOT NULL)), s -> aggregate(filter(ids, i -> i.sid = s), 0L, (t, i) -> t + i.n)))"
+)
+
+
 class Resolution:
     """The entities behind a table of spellings (country, name, ids: array of (sid, n)).
 
     entities: country, pid, names, ids — one row per entity; a spelling that matches nothing is an entity of its own. Spellings
     of different countries never match. Repeated rows of a spelling count once. Without rows there are no entities.
-    rounds: how many rounds merged something.
+    rounds: how many rounds merged something. compared: how many pairs of names were compared.
     """
 
     def __init__(self, names: DataFrame, lexicon: Lexicon = LEXICON) -> None:
-        self.lexicon = lexicon
+        @F.pandas_udf("form string, whole int, words int, itself boolean")
+        def parsed(name: pd.Series, country: pd.Series) -> pd.DataFrame:
+            each = [(parse(n, c, lexicon), c) for n, c in zip(name, country, strict=True)]
+            return pd.DataFrame([(p.packed(), p.full(), len(p.rest), compare(p, p, c, lexicon) is not None) for p, c in each], columns=["form", "whole", "words", "itself"])
+
         once = names.where("country IS NOT NULL AND name IS NOT NULL").groupBy("country", "name").agg(F.flatten(F.collect_list("ids")).alias("ids"))
         self.entities = cut(once.select(F.xxhash64("country", "name").alias("pid"), "country", F.array("name").alias("names"), "ids"))
-
-        @F.pandas_udf("array<string>")
-        def keys(names: pd.Series, country: pd.Series) -> pd.Series:
-            return pd.Series([block_keys(list(n), c, lexicon) for n, c in zip(names, country, strict=True)], dtype=object)
-
-        self.blocks = cut(self.entities.select("pid", "country", F.explode(keys("names", "country")).alias("key")).select("pid", F.xxhash64("country", "key").alias("key")))
-        self.rated = self._rate(self._meet(self.blocks))
+        read = self.entities.select("pid", "country", parsed(F.col("names")[0], "country").alias("p"))
+        read = cut(read.select("pid", "country", "p.*", F.xxhash64("country", "p.form").alias("fid")))
+        found, self.compared = linked(read.select("fid", "country", "form").distinct(), lexicon)
+        # the pairs of spellings: those of one form, and those of two forms that may be the same
+        alike = read.where("itself").select("fid").distinct().select(F.col("fid").alias("a"), F.col("fid").alias("b"), F.lit(3).alias("level"), F.lit(0).alias("slips"))
+        links = found.unionByName(alike).join(_named(read, fid="a", pid="x"), "a")
+        links = _joined(links, _named(read, fid="b", pid="y"), "b").where("a <> b OR x < y")
+        #: x, y, level, slips: spellings that may be the same
+        self.links = cut(links.select("x", "y", "level", "slips"))
+        #: s, pid, rank: the profile of each spelling and how full the spelling is
+        self.members = cut(read.select(F.col("pid").alias("s"), "pid", F.struct("whole", "words").alias("rank")))
+        release(read, found)
+        self.rated = cut(self._rate())
         self.rounds = 0
         while (edges := self._edges()) is not None:
             self._merge(edges)
             self.rounds += 1
 
-    def _meet(self, fresh: DataFrame) -> DataFrame:
-        """Distinct pairs a < b of profiles that share a key, one at least of them fresh (pid, key). A block of many profiles is
-        met in salted parts, so that no task has all of its pairs."""
-        hot = cut(self.blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
-        hot = small(hot, 32)
-        a = fresh.join(hot, "key", "left").select("key", F.col("pid").alias("x"), F.pmod(F.xxhash64("pid", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-        b = self.blocks.join(hot, "key", "left").select("key", F.col("pid").alias("y"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-        met = a.join(b, ["key", "part"]).where("x <> y")
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    def _rate(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that match, with level, slips, overlap and which of the two is the poorer one."""
-        lexicon = self.lexicon
-
-        @F.pandas_udf("level int, slips int, overlap double, poorer int")
-        def rate(a: pd.Series, b: pd.Series, country: pd.Series, ids_a: pd.Series, ids_b: pd.Series) -> pd.DataFrame:
-            def votes(ids) -> dict[str, int]:
-                out: dict[str, int] = {}
-                for x in ids:
-                    out[x["sid"]] = out.get(x["sid"], 0) + x["n"]
-                return out
-
-            rows = [match_profiles(list(x), list(y), c, votes(i), votes(j), lexicon) for x, y, c, i, j in zip(a, b, country, ids_a, ids_b, strict=True)]
-            return pd.DataFrame(rows, columns=["level", "slips", "overlap", "poorer"])
-
-        side = lambda k: self.entities.select(F.col("pid").alias(k), F.col("country").alias(f"country_{k}"), F.col("names").alias(f"names_{k}"), F.col("ids").alias(f"ids_{k}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").where("country_a = country_b")
-        rated = both.select("a", "b", rate("names_a", "names_b", "country_a", "ids_a", "ids_b").alias("r")).select("a", "b", "r.*")
-        return cut(rated.where("level > 0"))
+    def _rate(self, fresh: DataFrame | None = None) -> DataFrame:
+        """The pairs a < b of profiles (one of them fresh, if given) that match, with level (1 to 3), slips, share of common speaker
+        ids, and which of the two is the poorer one (0 or 1)."""
+        members = self.members if fresh is None else self.members.join(fresh.withColumn("fresh", F.lit(True)), "pid", "left")
+        members = members.withColumn("top", F.col("rank") == F.max("rank").over(Window.partitionBy("pid")))
+        members = members.withColumn("fresh", F.lit(True) if fresh is None else F.coalesce("fresh", F.lit(False)))
+        pairs = self.links.join(_named(members, s="x", pid="p", top="top_x", fresh="fresh_x"), "x").join(_named(members, s="y", pid="q", top="top_y", fresh="fresh_y"), "y")
+        pairs = pairs.where("p <> q AND (fresh_x OR fresh_y)").groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+        # the fullest spellings of both must go together
+        pairs = pairs.agg(F.max(F.struct("level", (-F.col("slips")).alias("kept"))).alias("best"), F.max(F.expr("top_x AND top_y")).alias("top")).where("top")
+        tops = self.members.groupBy("pid").agg(F.max("rank").alias("rank"))
+        sides = self.entities.join(tops, "pid").select("pid", F.expr(TALLY).alias("ids"), "rank", F.size("names").alias("n"))
+        sides = sides.withColumn("votes", F.expr("aggregate(map_values(ids), 0L, (t, n) -> t + n)"))
+        side = lambda k: sides.select(F.col("pid").alias(k), F.col("ids").alias(f"ids_{k}"), F.col("votes").alias(f"votes_{k}"), F.struct("rank", "n", "votes").alias(f"size_{k}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").selectExpr("a", "b", "best.level AS level", "-best.kept AS slips", "size_a", "size_b", "least(votes_a, votes_b) AS votes", "ids_a", "ids_b")
+        both = both.withColumn("common", F.expr("aggregate(map_keys(ids_a), 0L, (t, s) -> t + if(map_contains_key(ids_b, s), least(ids_a[s], ids_b[s]), 0L))"))
+        # ids of their own speak against slips: two of them need a common id if both sides have any;
+        # without ids, so many slips need all parts and a rival-free match
+        level = F.expr("CASE WHEN level < 3 AND slips > 0 AND common = 0 AND votes >= if(slips = 1, 3, 1) THEN 0 WHEN slips = 2 AND common = 0 THEN if(level = 2, 1, 0) ELSE level END")
+        return both.select("a", "b", level.alias("level"), "slips", F.expr("if(votes > 0, common / votes, 0D)").alias("overlap"), F.expr("int(size_b < size_a)").alias("poorer")).where("level > 0")
 
     def _edges(self) -> DataFrame | None:
         clear = self.rated.where("level > 1")
@@ -397,22 +480,21 @@ class Resolution:
         return None if sure.isEmpty() else cut(sure.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     def _merge(self, edges: DataFrame) -> None:
-        """Merge along the edges; only the merged profiles are put into their blocks and rated again."""
+        """Merge along the edges; only the merged profiles are rated again."""
         nodes = cut(components(edges).withColumnRenamed("node", "pid"))
         of = small(nodes, 48)
         touched = small(nodes.select("pid"), 32)
-        entities, blocks, rated = self.entities, self.blocks, self.rated
+        entities, members, rated = self.entities, self.members, self.rated
         moved = entities.join(of, "pid").groupBy(F.col("component").alias("pid"))
         moved = moved.agg(F.min("country").alias("country"), F.flatten(F.collect_list("names")).alias("names"), F.flatten(F.collect_list("ids")).alias("ids"))
         self.entities = cut(entities.join(touched, "pid", "left_anti").unionByName(moved))
-        fresh = cut(blocks.join(of, "pid").select(F.col("component").alias("pid"), "key").distinct())
-        self.blocks = cut(blocks.join(touched, "pid", "left_anti").select("pid", "key").unionByName(fresh))
+        self.members = cut(members.join(of, "pid", "left").select("s", F.coalesce("component", "pid").alias("pid"), "rank"))
         kept = rated
         for end in ("a", "b"):
             kept = kept.join(touched.withColumnRenamed("pid", end), end, "left_anti")
-        again = self._rate(self._meet(fresh))
+        again = self._rate(cut(nodes.select(F.col("component").alias("pid")).distinct()))
         self.rated = cut(kept.select(again.columns).unionByName(again))
-        release(entities, blocks, rated, again, fresh, nodes)
+        release(entities, members, rated, nodes)
 
     def pairs(self) -> DataFrame:
         """country, name_a, name_b: all pairs of different spellings of one entity, name_a < name_b by code point."""

@@ -88,9 +88,18 @@ def mounted(place: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation.
+
+    A checkpoint keeps the plan's estimated size, and a join's is the product of its sides': over rounds of joins it would
+    double its digits again and again until the driver has neither time nor memory for it. One beyond 63 bits is dropped.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution().analyzed()
+    if plan.stats().sizeInBytes() < 1 << 63:
+        return done
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), done._jdf.schema(), False), spark)
 
 
 def release(*frames: DataFrame) -> None:
